@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, exact_dedup, media, mixing, token_counts
+from corvane.llm import bpe, exact_dedup, media, mixing, secrets, token_counts, toxicity
 from corvane.llm.common import documents
 
 
@@ -28,6 +28,17 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "cut_words")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan(documents(spark, sf_dir))
+    return secrets.digest(found)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir))
 
@@ -41,6 +52,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media": op3_media,
         "op4_bpe": op4_bpe,
         "op5_mix": op5_mix,
+        "op7_secrets": op7_secrets,
+        "op8_toxicity": op8_toxicity,
         "op9_exact": op9_exact,
         "op10_tokens": op10_tokens,
     }
