@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, exact_dedup, media, mixing, secrets, token_counts, toxicity
+from corvane.llm import bpe, exact_dedup, media, mixing, pii, secrets, token_counts, toxicity
 from corvane.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.extract(documents(spark, sf_dir)))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op3_media": op3_media,
         "op4_bpe": op4_bpe,
         "op5_mix": op5_mix,
