@@ -193,7 +193,7 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
         for batch in batches:
             held = []
             for text in batch.column("text"):
-                words = (text.as_py() or "").split()
+                words = _WORD.findall(text.as_py() or "")
                 h = np.zeros(len(words) + 3, np.uint64)  # two words of nothing before, one after
                 h[2:-1] = np.fromiter(map(_word, words), np.uint64, len(words))
                 before2, before, after = h[:-3], h[1:-2], h[3:]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, exact_dedup, media, mixing, pii, secrets, token_counts, toxicity
+from corvane.llm import bpe, exact_dedup, media, mixing, pii, secrets, suffix_dedup, token_counts, toxicity
 from corvane.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.extract(documents(spark, sf_dir)))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), digest=True)
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_repeats": op2_repeats,
         "op3_media": op3_media,
         "op4_bpe": op4_bpe,
         "op5_mix": op5_mix,
