@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, exact_dedup, media, mixing, pii, secrets, suffix_dedup, token_counts, toxicity
+from corvane.llm import bpe, exact_dedup, jaccard_join, media, mixing, pii, secrets, suffix_dedup, token_counts, toxicity
 from corvane.llm.common import documents
 
 
@@ -36,6 +36,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "cut_words")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(documents(spark, sf_dir))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(documents(spark, sf_dir))
     return secrets.digest(found)
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media": op3_media,
         "op4_bpe": op4_bpe,
         "op5_mix": op5_mix,
+        "op6_jaccard": op6_jaccard,
         "op7_secrets": op7_secrets,
         "op8_toxicity": op8_toxicity,
         "op9_exact": op9_exact,
