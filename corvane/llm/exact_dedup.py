@@ -75,10 +75,10 @@ def _collisions(keyed: DataFrame, groups: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     found = classes(docs)
-    keep = found.where("kept").select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    keep = found.where("kept").select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_keep_sha"))
     sha = F.sha2(normalised(), 256)
     stay = docs.withColumn("_sha", sha).join(
-        keep.distinct(), F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_sha") == keep["_sha"]), "left_semi"
+        keep.distinct(), F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi"
     )
     # rows that repeat an id and a text are one document
     if not found.where("kept").groupBy("keep_id", "text_sha256").count().where("count > 1").isEmpty():

@@ -94,8 +94,9 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its ``n``-th word, white space as it is."""
     # every character but the last of each word becomes a letter, the last a mark: a mark's place is a word's end
-    marks = F.regexp_replace(F.regexp_replace(text, f"{NOT_WS}(?={NOT_WS})", "a"), NOT_WS + f"(?={WS}|$)", "b")
-    return F.substring(text, F.lit(1), F.length(F.substring_index(F.translate(marks, " \t\n\x0b\x0c\r", "aaaaaa"), "b", n)) + 1)
+    marks = F.regexp_replace(F.regexp_replace(text, f"{NOT_WS}(?={NOT_WS})", "a"), NOT_WS + f"(?={WS}|\\z)", "b")
+    plain = F.translate(marks, " \t\n\x0b\x0c\r", "aaaaaa")
+    return F.substring(text, F.lit(1), F.length(F.call_function("substring_index", plain, F.lit("b"), n)) + 1)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
