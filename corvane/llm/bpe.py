@@ -36,25 +36,43 @@ from corvane.llm.pretokens import splitter
 from corvane.plans.scratch import materialize
 
 #: Characters of text in a chunk, one more document at most.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 24_000_000
 _PARTS = "kind int, chunk long, bucket int, blob binary"
 
 
 def _pack(x: object) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
+    return zstandard.ZstdCompressor(level=9).compress(pickle.dumps(x, protocol=5))
 
 
 def _unpack(b: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes of the numbers, lowest bytes first, so that the empty high bytes compress away."""
-    return a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _varints(a: np.ndarray) -> bytes:
+    """Numbers as groups of seven bits, lowest first: frequent words have small numbers and take one byte."""
+    a = a.astype(np.uint32)
+    cells = np.stack([(a >> np.uint32(7 * k)) & np.uint32(127) for k in range(5)], 1).astype(np.uint8)
+    more = np.stack([a >> np.uint32(7 * k) > 0 for k in range(1, 5)] + [np.zeros(len(a), bool)], 1)
+    used = np.concatenate([np.ones((len(a), 1), bool), more[:, :-1]], 1)
+    return (cells | (more.astype(np.uint8) << 7))[used].tobytes()
 
 
-def _unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _unvarints(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(b, np.uint8)
+    last = np.flatnonzero(raw < 128)
+    first = np.append(0, last[:-1] + 1) if len(last) else last
+    place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
+    parts = (raw & 127).astype(np.uint64) << (7 * place).astype(np.uint64)
+    return np.add.reduceat(parts, first).astype(np.uint32) if len(last) else np.zeros(0, np.uint32)
+
+
+def _halves(a: np.ndarray) -> tuple[bytes, bytes]:
+    """Low and high bytes of numbers below 65,536, apart: the high ones compress away."""
+    return (a & 255).astype(np.uint8).tobytes(), (a >> 8).astype(np.uint8).tobytes()
+
+
+def _unhalves(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, np.uint8).astype(np.uint32) | np.frombuffer(high, np.uint8).astype(np.uint32) << np.uint32(8)
 
 
 def _bucket(word: str, buckets: int) -> int:
@@ -73,7 +91,7 @@ def _split(vocab_path: str, buckets: int):
         for r, w in enumerate(order.tolist()):
             b = of_rank[r] = _bucket(words[w], buckets)
             lists.setdefault(b, []).append(words[w])
-        yield 0, chunk, -1, _pack((ids, [len(a) for a in at], _planes(rank[flat]), of_rank))
+        yield 0, chunk, -1, _pack((ids, [len(a) for a in at], _varints(rank[flat]), of_rank))
         for b, part in lists.items():
             yield 1, chunk, b, _pack("\n".join(part))
 
@@ -112,7 +130,10 @@ def _encode(vocab_path: str):
         blobs = []
         for words in lists:
             found = [ids[w] for w in words]
-            blobs.append(_pack((np.array([len(f) for f in found], np.uint32), np.concatenate(found).astype(np.uint32))))
+            flat = np.concatenate(found)
+            if flat.max() >> 16:
+                raise ValueError("ids of 65,536 and more are not packed")
+            blobs.append(_pack((np.array([len(f) for f in found], np.uint16), *_halves(flat))))
         return pd.DataFrame({"kind": 1, "chunk": part.chunk, "bucket": part.bucket, "blob": blobs})
 
     return run
@@ -121,18 +142,19 @@ def _encode(vocab_path: str):
 def _assemble(vocab_path: str, digest: bool):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         pieces = splitter(vocab_path).pieces
-        doc_ids, sizes, planes, of_rank = _unpack(part.blob[part.kind == 0].iloc[0])
+        doc_ids, sizes, numbers_of, of_rank = _unpack(part.blob[part.kind == 0].iloc[0])
         n = len(of_rank)
         numbers: list = [None] * n
         for bucket, blob in zip(part.bucket, part.blob):
             if bucket >= 0:
-                lens, flat = _unpack(blob)
-                for r, ids in zip(np.flatnonzero(of_rank == bucket).tolist(), np.split(flat, np.cumsum(lens)[:-1])):
+                lens, low, high = _unpack(blob)
+                flat = _unhalves(low, high)
+                for r, ids in zip(np.flatnonzero(of_rank == bucket).tolist(), np.split(flat, np.cumsum(lens, dtype=np.int64)[:-1])):
                     numbers[r] = ids.tolist()
         count = np.fromiter((len(x) for x in numbers), np.int64, n)
         shown = [" ".join(map(str, x)) for x in numbers]
         read = [" ".join([pieces[i] for i in x]) for x in numbers]  # the join of id to piece
-        ranks, at, out = _unplanes(planes), 0, []
+        ranks, at, out = _unvarints(numbers_of), 0, []
         for doc_id, size in zip(doc_ids, sizes):
             r = ranks[at : at + size]
             at += size
