@@ -235,7 +235,7 @@ def _verify(part: pd.DataFrame) -> pd.DataFrame:
         both = _overlaps(sets)
         near = both >= SIMILARITY * (size[:, None] + size[None, :] - both) - 1e-9
         np.fill_diagonal(near, False)
-        if block.min() != block.max():  # pairs within a block are another task's
+        if g.cross.iloc[0]:  # pairs within a block are another task's
             near &= block[:, None] != block[None, :]
         links = (near * mult[None, :]).sum(axis=1)
         label = np.arange(len(ids))
@@ -278,7 +278,8 @@ def links(docs: DataFrame, runs: int | None = None, small: int = SMALL, depth: i
     split = held.withColumn("_n", count).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("_n").cast("long")).cast("int"))
     split = split.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     grp = F.xxhash64("label", F.least("block", "_o"), F.greatest("block", "_o"))
-    split = split.select(grp.alias("grp"), "sid", "mult", "block", "shingles").withColumn("part", F.pmod("grp", F.lit(8 * width)))
+    cross = (F.col("_o") != F.col("block")).alias("cross")
+    split = split.select(grp.alias("grp"), cross, "sid", "mult", "block", "shingles").withColumn("part", F.pmod("grp", F.lit(8 * width)))
     exact = materialize(split.groupBy("part").applyInPandas(_verify, "sid string, label string, links bigint"), "links")
     classes = components(exact.select(F.col("sid").alias("u"), F.col("label").alias("v")))
     per_node = nodes.select("sid", "rep", "mult").join(exact.groupBy("sid").agg(F.sum("links").alias("links")), "sid", "left")

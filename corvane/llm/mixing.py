@@ -102,13 +102,17 @@ def first_words(text: Column, n: Column) -> Column:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: each row of ``docs`` as often as the mix takes it, the row on a cut shortened."""
     plan = mix_plan(docs, **options).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"), "copies", "cut_words").distinct()
-    taken = docs.join(
-        plan,
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.xxhash64(whole_text()) == F.col("_h")),
+    plays = plan.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("source").alias("_s")).agg(
+        F.sum("copies").alias("copies"), F.collect_list(F.when(F.col("cut_words") > 0, F.col("cut_words"))).alias("cuts"), F.count(F.lit(1)).alias("_n")
     )
-    parts = F.array_repeat(F.lit(-1).cast("long"), F.col("copies").cast("int"))
-    parts = F.when(F.col("cut_words") > 0, F.concat(parts, F.array("cut_words"))).otherwise(parts)
+    plays = materialize(plays, "plays")
+    keyed = docs.withColumn("_text_hash", F.xxhash64(whole_text()))
+    if not plays.where("_n > 1").isEmpty():
+        # rows that repeat an id, a text and a source are played from one of them
+        keyed = keyed.dropDuplicates(["doc_id", "source", "_text_hash"])
+    taken = keyed.join(
+        plays, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_text_hash") == F.col("_h"))
+    )
+    parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("copies").cast("int")), F.col("cuts"))
     text = F.when(F.col("_part") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col("_part").cast("int")))
-    out = taken.withColumn("_part", F.explode(parts))
-    return out.withColumn("text", text).select(*docs.columns)
+    return taken.withColumn("_part", F.explode(parts)).withColumn("text", text).select(*docs.columns)
