@@ -13,6 +13,15 @@ def tokens(units: DataFrame, pattern: str = WORDS, lower: bool = True) -> DataFr
     return units.select("unit_id", "document_id", F.posexplode(tokenize(F.col("text"), pattern, lower)).alias("pos", "term"))
 
 
+def token_arrays(units: DataFrame, *keep: str) -> DataFrame:
+    """Units with their tokens in the array ``t``.
+
+    The explode of a one-element array pins the tokens down as a column: inlined into a lambda over
+    their places, the tokenizer would run once for each place.
+    """
+    return units.select(*keep, F.explode(F.array(tokenize(F.col("text")))).alias("t"))
+
+
 def postings(toks: DataFrame) -> DataFrame:
     """(term, unit_id, document_id, tf, positions).  A row's group is one term of one unit, bounded by the unit."""
     return toks.groupBy("term", "unit_id", "document_id").agg(
@@ -30,7 +39,7 @@ def terms(post: DataFrame) -> DataFrame:
 
 def phrases(units: DataFrame, sizes: tuple[int, ...] = (2, 3), least: int = 5, least_documents: int = 2, most: int = 20_000) -> DataFrame:
     """Indexed phrases by rank: frequent runs of indexable tokens; ``most`` is the dictionary's size."""
-    toks = units.select("document_id", tokenize(F.col("text")).alias("t"))
+    toks = token_arrays(units, "document_id")
     grams = toks.select("document_id", F.explode(F.concat(*(ngrams(F.col("t"), n, "_") for n in sizes))).alias("phrase"))
     counted = grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("freq"), F.countDistinct("document_id").alias("docs"))
     good = F.forall(F.split("phrase", "_"), is_indexable)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.tokens import STOPWORDS, ngrams, tokenize
+from corvane.operators.index import token_arrays
 
 
 def corpus_totals(toks: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def top(df: DataFrame, by: str, name: str, k: int) -> DataFrame:
 
 
 def ngram_counts(units: DataFrame, n: int) -> DataFrame:
-    grams = units.select("unit_id", F.explode(ngrams(tokenize(F.col("text")), n)).alias("ngram"))
+    grams = token_arrays(units, "unit_id").select("unit_id", F.explode(ngrams(F.col("t"), n)).alias("ngram"))
     return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("freq"), F.countDistinct("unit_id").alias("units"), F.min("unit_id").alias("first_unit"))
 
 

@@ -291,9 +291,10 @@ def ng5_mined(spark, sf):
     (SELECT count(*) FROM g2 WHERE ngram NOT IN (SELECT ngram FROM c)) AS introduced""",
 )
 def ng6_stopword_effect(spark, sf):
-    t = unit_rows(spark, sf).select(tk.tokenize(F.col("text")).alias("a"))
+    t = ix.token_arrays(unit_rows(spark, sf)).withColumnRenamed("t", "a")
     a = t.select(F.explode(tk.ngrams(F.col("a"), 2)).alias("ngram")).distinct().withColumn("x", F.lit(1))
-    b = t.select(F.explode(tk.ngrams(tk.drop_stopwords(F.col("a")), 2)).alias("ngram")).distinct().withColumn("y", F.lit(1))
+    left = t.select(F.explode(F.array(tk.drop_stopwords(F.col("a")))).alias("a"))
+    b = left.select(F.explode(tk.ngrams(F.col("a"), 2)).alias("ngram")).distinct().withColumn("y", F.lit(1))
     j = a.join(b, "ngram", "full_outer")
     return j.agg(F.count_if(F.expr("x = 1 and y = 1")).alias("shared"), F.count_if(F.expr("y is null")).alias("lost"), F.count_if(F.expr("x is null")).alias("introduced"))
 
