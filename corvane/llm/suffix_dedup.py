@@ -195,9 +195,11 @@ class SuffixIndex:
     def add(self, batch: DataFrame) -> None:
         """Scan a batch of entries against itself and every level, then make it a level."""
         array = materialize(batch.sortWithinPartitions("key"), "level0")
-        met = array.groupBy("key").count().where("count > 1").select("key")
+        # each side sends a key once a task: a hot key is one row of a task, not one of an entry
+        own = array.groupBy("key").count()
+        met = own.where("count > 1").select("key")
         for level in self.levels.values():
-            met = met.unionByName(array.select("key").join(level.select("key"), "key", "left_semi"))
+            met = met.unionByName(own.select("key").join(level.select("key").distinct(), "key", "left_semi"))
         met = materialize(met.distinct(), "met")
         self.met = met if self.met is None else self.met.unionByName(met)
         rank = 0
