@@ -24,16 +24,21 @@ def append_postings(documents: DataFrame, path: str, checkpoint: str) -> Streami
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need instants; times without a zone are taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total): works on streams and on tables alike."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
-    return w.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    w = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
+    return w.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """(user_id, start, n) of runs of events of one user with smaller gaps."""
-    w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id")
-    return w.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+    w = _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id")
+    return w.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 def register_sql(spark: SparkSession) -> None:
