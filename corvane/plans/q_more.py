@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions import tokens as tk
-from corvane.functions import typed
+from corvane.functions import snippets, typed
 from corvane.operators import annotate as an
 from corvane.operators import evaluation as ev
 from corvane.operators import index as ix
@@ -197,3 +197,77 @@ def ex_event_windows(spark, sf):
 )
 def ex_sessions(spark, sf):
     return index_stream.sessions(table(spark, sf, "events"))
+
+
+@query("ix15_snippets")
+def ix15_snippets(spark, sf):
+    """Snippets of the capped hits; texts are joined after the cap, so the function sees only these."""
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([snippets.snippet(t, w.split(";")) for t, w in zip(text, terms)])
+
+    hits = qs.ix17_query_set(spark, sf).select("query_id", "rank", "unit_id", "matched_terms")
+    texts = qs.unit_rows(spark, sf).select("unit_id", "text")
+    return hits.join(texts, "unit_id").select("query_id", "rank", "unit_id", cut("text", "matched_terms").alias("snippet"))
+
+
+@query("tk4_treebank")
+def tk4_treebank(spark, sf):
+    @F.pandas_udf("array<string>")
+    def split(text: pd.Series) -> pd.Series:
+        return text.map(snippets.treebank)
+
+    t = qs.unit_rows(spark, sf).select(F.explode(split("text")).alias("token"))
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pj8_chunks")
+def pj8_chunks(spark, sf):
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def split(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [{"start": a, "end": b} for a, b in snippets.chunks(t, 1000)])
+
+    return qc.docs(spark, sf).select("doc_id", F.posexplode(split("text")).alias("chunk", "span")).select("doc_id", "chunk", "span.start", "span.end")
+
+
+@query("mo6_lemma_comparison")
+def mo6_lemma_comparison(spark, sf):
+    """Distinct terms left by each method, and the reduction against none."""
+    words = qc.toks(spark, sf).select("term").distinct().where(F.col("term").rlike("^[a-z]+$")).persist()
+    out = None
+    for name, f in an.morphology.STEMMERS.items():
+        row = an.map_vocabulary(words, f, "x").agg(F.lit(name).alias("method"), F.count(F.lit(1)).alias("before"), F.countDistinct("x").alias("after"))
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("reduction", tx.percent_reduction(F.col("before"), F.col("after")))
+
+
+@query("cm2_preservation")
+def cm2_preservation(spark, sf):
+    """Share of expressions that come out of the hybrid tokenizer as exactly one term, by category."""
+    u = spark.createDataFrame(_TYPED, "text string").withColumn("unit_id", F.col("text")).select("unit_id", "text")
+    spans = u.select("unit_id", F.inline(an.expression_spans(F.col("text")))).select("unit_id", "category", F.lower(F.regexp_replace("text", r"\s+", " ")).alias("term"))
+    terms = u.select("unit_id", F.explode(an.hybrid_tokens(F.col("text"))).alias("term")).distinct().withColumn("kept", F.lit(1))
+    joined = spans.join(terms, ["unit_id", "term"], "left").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count("kept").alias("kept"))
+    return joined.withColumn("share", F.round(F.col("kept") / F.col("n"), 4))
+
+
+@query(
+    "st2_captions",
+    "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(line, '^Table [0-9]') THEN 'table' WHEN regexp_matches(line, '^(Figure|Chart) [0-9]') THEN 'figure' "
+    "WHEN regexp_matches(line, '^Box [0-9]') THEN 'box' ELSE 'none' END AS kind FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1",
+)
+def st2_captions(spark, sf):
+    line = F.col("line")
+    kind = F.when(line.rlike("^Table [0-9]"), "table").when(line.rlike("^(Figure|Chart) [0-9]"), "figure").when(line.rlike("^Box [0-9]"), "box").otherwise("none")
+    return qc.docs(spark, sf).select(F.explode(F.split("text", "\n")).alias("line")).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "st9_low_text",
+    "SELECT doc_id, CASE WHEN n_chars < 60 AND w < 15 THEN 'scanned' WHEN n_chars < 120 OR w < 20 THEN 'low' ELSE 'ok' END AS status FROM (SELECT doc_id, n_chars, len(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) AS w FROM documents)",
+)
+def st9_low_text(spark, sf):
+    w = tx.count_words(F.col("text"))
+    status = F.when((F.col("n_chars") < 60) & (w < 15), "scanned").when((F.col("n_chars") < 120) | (w < 20), "low").otherwise("ok")
+    return qc.docs(spark, sf).select("doc_id", status.alias("status"))
