@@ -44,19 +44,35 @@ def _flag(node, number: dict, has: Column) -> Column:
     return left & right if isinstance(node, ql.And) else left | right
 
 
-def search(post: DataFrame, queries: dict[str, str], max_hits: int = MAX_HITS, types: dict[str, str] | None = None) -> DataFrame:
-    """(query_id, rank, score, unit_id, document_id, n_terms, total_tf, phrase_match, matched_terms)."""
+def _known(post: DataFrame, words: set[str]) -> set[str]:
+    """Which words of the queries the index has."""
+    return {r.term for r in post.where(F.col("term").isin(sorted(words))).select("term").distinct().collect()}
+
+
+def search(
+    post: DataFrame, queries: dict[str, str], max_hits: int = MAX_HITS, types: dict[str, str] | None = None, keyword_mode: str = "first"
+) -> DataFrame:
+    """(query_id, rank, score, unit_id, document_id, n_terms, total_tf, phrase_match, matched_terms).
+
+    A keyword query of several words takes the units of its first word that the index has, and scores
+    all its words; with ``keyword_mode`` "any" it takes the units of any word.
+    """
     spark = post.sparkSession
-    trees = {}
+    trees, extra = {}, {}
     for q, text in queries.items():
         kind = (types or {}).get(q) or ql.query_type(text)
         if kind == "keyword":
             words = [w for _, v in ql.lex(text) for w in ql.words_of(v)]
             trees[q] = reduce(ql.Or, [ql.Term((w,)) for w in words]) if words else ql.Term(())
+            if keyword_mode == "first" and len(words) > 1:
+                extra[q] = words
         elif kind == "phrase":
             trees[q] = ql.Term(ql.words_of(text), True)
         else:
             trees[q] = ql.parse(text)
+    known = _known(post, {w for words in extra.values() for w in words}) if extra else set()
+    for q, words in extra.items():
+        trees[q] = ql.Term((next((w for w in words if w in known), words[0]),))
     single, phrased, wanted = [], [], []
     numbers: dict[str, dict] = {}
     for q, tree in trees.items():
@@ -64,8 +80,8 @@ def search(post: DataFrame, queries: dict[str, str], max_hits: int = MAX_HITS, t
         numbers[q] = {leaf: n for n, leaf in enumerate(dict.fromkeys(leaf for leaf, _ in leaves))}
         single += [(q, numbers[q][t], t.words[0]) for t in numbers[q] if len(t.words) == 1]
         phrased += [(q, numbers[q][t], k, w, len(t.words)) for t in numbers[q] if len(t.words) > 1 for k, w in enumerate(t.words)]
-        wanted += {(q, w) for t, yes in leaves if yes for w in t.words}
-    used = sorted({w for *_, w in single} | {row[3] for row in phrased})
+        wanted += {(q, w) for t, yes in leaves if yes for w in t.words} | {(q, w) for w in extra.get(q, [])}
+    used = sorted({w for *_, w in single} | {row[3] for row in phrased} | {w for _, w in wanted})
     own = post.where(F.col("term").isin(used))  # reaches the scan
     leaf_rows = own.join(F.broadcast(spark.createDataFrame(single or [("", 0, "\0")], "query_id string, leaf int, term string")), "term")
     hits = leaf_rows.select("query_id", "unit_id", "leaf", F.lit(False).alias("phrase"))

@@ -34,6 +34,12 @@ def test_sets(post):
     assert found(post, "zzz AND current") == set()
 
 
+def test_keywords(post):
+    first = {r.unit_id: r.n_terms for r in se.search(post, {"q": "zzz account capital"}).collect()}
+    assert first == {"u2": 2, "u4": 1, "u6": 1}
+    assert found(post, "zzz account capital", keyword_mode="any") == {"u2", "u3", "u4", "u6"}
+
+
 def test_score_and_order(post):
     rows = sorted(se.search(post, {"q": '"current account"'}).collect(), key=lambda r: r["rank"])
     assert [r.unit_id for r in rows] == ["u4", "u2"]
