@@ -36,7 +36,7 @@ from corvane.llm.pretokens import splitter
 from corvane.plans.scratch import materialize
 
 #: Characters of text in a chunk, one more document at most.
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 16_000_000
 _PARTS = "kind int, chunk long, bucket int, blob binary"
 
 
@@ -139,42 +139,60 @@ def _encode(vocab_path: str):
     return run
 
 
-def _assemble(vocab_path: str, digest: bool):
+def _assemble(vocab_path: str, digest: bool, decoded: bool):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         pieces = splitter(vocab_path).pieces
         doc_ids, sizes, numbers_of, of_rank = _unpack(part.blob[part.kind == 0].iloc[0])
         n = len(of_rank)
-        numbers: list = [None] * n
+        count, lists = np.zeros(n, np.int64), []
         for bucket, blob in zip(part.bucket, part.blob):
             if bucket >= 0:
                 lens, low, high = _unpack(blob)
-                flat = _unhalves(low, high)
-                for r, ids in zip(np.flatnonzero(of_rank == bucket).tolist(), np.split(flat, np.cumsum(lens, dtype=np.int64)[:-1])):
-                    numbers[r] = ids.tolist()
-        count = np.fromiter((len(x) for x in numbers), np.int64, n)
-        shown = [" ".join(map(str, x)) for x in numbers]
-        read = [" ".join([pieces[i] for i in x]) for x in numbers]  # the join of id to piece
+                own = np.flatnonzero(of_rank == bucket)
+                count[own] = lens
+                lists.append((own, _unhalves(low, high)))
+        # ids of all words side by side, in the order of their numbers
+        start = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64) if n else count
+        flat = np.zeros(int(count.sum()), np.int32)
+        for own, ids in lists:
+            flat[_places(start[own], count[own])] = ids
+        del lists
+        ends = (start + count).tolist()
+        spelt = [flat[a:b].tolist() for a, b in zip(start.tolist(), ends)] if digest or decoded else []
+        shown = [" ".join(map(str, x)) for x in spelt] if digest else []
+        read = [" ".join([pieces[i] for i in x]) for x in spelt]  # the join of id to piece
+        del spelt
         ranks, at, out = _unvarints(numbers_of), 0, []
         for doc_id, size in zip(doc_ids, sizes):
             r = ranks[at : at + size]
             at += size
-            own = r.tolist()
-            text = " ".join([read[i] for i in own])
+            row: list = [doc_id, int(count[r].sum())]
             if digest:
-                line = " ".join([shown[i] for i in own])
-                out.append((doc_id, int(count[r].sum()), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                own = r.tolist()
+                row += [hashlib.sha256(" ".join([x[i] for i in own]).encode()).hexdigest() for x in (shown, read)]
             else:
-                out.append((doc_id, int(count[r].sum()), list(chain.from_iterable(numbers[i] for i in own)), text))
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "n_tokens", "ids", "decoded"]
-        found = pd.DataFrame(out, columns=names)
+                row.append(flat[_places(start[r], count[r])])
+                if decoded:
+                    row.append(" ".join([read[i] for i in r.tolist()]))
+            out.append(row)
+        names = ["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"][: 1 + decoded]
+        found = pd.DataFrame(out, columns=["doc_id", "n_tokens", *names])
         found["doc_id"] = pd.array(found["doc_id"].tolist(), dtype="Int64") if not found.doc_id.map(type).eq(str).any() else found["doc_id"]
         return found
 
     return run
 
 
-def encode(docs: DataFrame, vocab_path: str, digest: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) of each row, or their digests as hex SHA-256.
+def _places(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each run of ``count`` places."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    before = np.concatenate([[0], np.cumsum(count)[:-1]])
+    return np.repeat(start - before, count) + np.arange(int(count.sum()))
+
+
+def encode(docs: DataFrame, vocab_path: str, digest: bool = False, decoded: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) of each row, or their digests as hex SHA-256; ``decoded`` can be left out.
 
     The digest of ids is that of the decimal ids joined by one space.
     """
@@ -183,9 +201,9 @@ def encode(docs: DataFrame, vocab_path: str, digest: bool = False) -> DataFrame:
     parts = docs.select("doc_id", "text").mapInArrow(_split(vocab_path, 4 * shuffle_width(spark)), _PARTS)
     parts = materialize(parts, "words", partition_by="kind").select("kind", "chunk", "bucket", "blob")
     ids = parts.where("kind = 1").groupBy("bucket").applyInPandas(_encode(vocab_path), _PARTS)
-    out = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
+    out = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>" + ", decoded string" * decoded
     both = parts.where("kind = 0").unionByName(ids)
-    return both.groupBy("chunk").applyInPandas(_assemble(vocab_path, digest), f"doc_id {kind}, n_tokens long, {out}")
+    return both.groupBy("chunk").applyInPandas(_assemble(vocab_path, digest, decoded), f"doc_id {kind}, n_tokens long, {out}")
 
 
 def piece_table(docs_session, vocab_path: str) -> DataFrame:

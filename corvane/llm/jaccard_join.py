@@ -46,7 +46,7 @@ TOKENS, BITS = 32, 256
 #: Equal sketch bits of a candidate: four deviations below the mean at the threshold.
 _MEAN = (1 + SIMILARITY) / 2
 CLOSE = math.floor(BITS * _MEAN - 4 * math.sqrt(BITS * _MEAN * (1 - _MEAN)))
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
 _known: dict[str, int] = {}

@@ -39,7 +39,7 @@ ROUNDS = 3
 #: Digits that make a string a candidate.
 MIN_DIGITS = 5
 BLOOM_BITS = 22
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")

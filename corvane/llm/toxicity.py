@@ -30,7 +30,7 @@ TRAIN_ROWS = 12_000
 EPOCHS = 6
 THRESHOLD = 0.3
 #: Words remembered by a worker at most.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 200_000
 
 _words = re.compile(r"\w+").findall
 _known: dict[str, int] = {}
@@ -94,7 +94,7 @@ def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EP
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
-            f = np.append(rows[k][0], free)
+            f = np.append(rows[k][0].astype(np.int64), free)
             w = weights(f)
             g = _sigmoid(float(w.sum())) - rows[k][1]
             step = (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / alpha
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
     table = table.sort_by("_id")
     if not table.num_rows:
         return None
-    return train([(f.values.to_numpy().astype(np.int64), int(y.as_py() > 0)) for f, y in zip(table["f"], table["_y"])], bits)
+    return train([(f.values.to_numpy(), int(y.as_py() > 0)) for f, y in zip(table["f"], table["_y"])], bits)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
