@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids)"""
-    return bpe.encode(docs, vocabulary()).select("doc_id", "n_tokens", "ids")
+    return bpe.encode(docs, vocabulary(), decoded=False).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [
