@@ -48,9 +48,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     order = Window.orderBy("_reach", F.col("source").asc_nulls_last())
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after)
-    # the first source that the level no longer lifts over its cap fixes the level for all after it
+    # the first source that the level no longer lifts over its cap fixes the level for all after it; a later
+    # source's level leaves out caps that are not reached and is never higher, so the highest is the first's
     found = ranked.withColumn("_level", level)
-    free = found.where("_level <= _reach").agg(F.max_by("_level", -F.col("_reach")).alias("_final"))
+    free = found.where("_level <= _reach").agg(F.max("_level").alias("_final"))
     target = F.when(F.col("_final").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_w") * F.col("_final")))
     return found.crossJoin(F.broadcast(free)).select("source", "source_size", target.alias("target"))
 

@@ -172,6 +172,20 @@ def test_mixing(docs):
     assert all(abs(got.get(s, 0) - want[s]) <= 1 for s in want)
 
 
+@pytest.mark.parametrize("weights, sizes", [((5, 2, 1), [1000] * 4), ((1,), [700] * 5), ((5, 2, 1), [1000, 400, 200, 1000, 400, 200, 9000]), ((5, 2, 1), [0, 0, 30, 0])])
+def test_targets_of_equal_sources(spark, weights, sizes):
+    have = {f"s{i}": n for i, n in enumerate(sizes)}
+    found = mixing.source_targets(spark.createDataFrame(list(have.items()), "source string, source_size long"), weights, 3)
+    got, want = {r.source: r.target for r in found.collect()}, brute.targets(have, weights)
+    assert sum(got.values()) == pytest.approx(sum(sizes)) and got == pytest.approx(want)
+
+
+def test_mixing_of_equal_sources(spark):
+    rows = [(40 * s + i, f"w{i} " * 25, f"s{s}") for s in range(4) for i in range(40)]
+    plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert abs(sum(r.taken for r in plan) - 4000) <= 4
+
+
 def test_first_words(spark):
     rows = [("  ab bb\tc\n dd e", 1), ("  ab bb\tc\n dd e", 3), ("one b b", 2), ("x y ", 1)]
     d = spark.createDataFrame(rows, "t string, n int")
