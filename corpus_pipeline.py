@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents in, token ids out.
+"""The corpus pipeline: documents in, token ids and the text they decode to out.
 
 Each stage takes (spark, docs, sf_dir) and works on what its predecessor kept.  ``run`` applies the
 stages to the whole documents table, each result written as a shared table and read again by the next
@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids)"""
-    return bpe.encode(docs, vocabulary(), decoded=False).select("doc_id", "n_tokens", "ids")
+    """(doc_id, n_tokens, ids, decoded)"""
+    return bpe.encode(docs, vocabulary())
 
 
 STAGES = [

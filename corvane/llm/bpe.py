@@ -37,6 +37,10 @@ from corvane.plans.scratch import materialize
 
 #: Characters of text in a chunk, one more document at most.
 CHUNK_CHARS = 16_000_000
+#: Characters decoded, or ids where no text is built, in one batch of results, one document at most over.
+SLICE = 2_000_000
+#: Numbers or bytes turned into varints and back at a time; their temporaries are twenty times as large.
+_BLOCK = 1 << 18
 _PARTS = "kind int, chunk long, bucket int, blob binary"
 
 
@@ -50,7 +54,10 @@ def _unpack(b: bytes):
 
 def _varints(a: np.ndarray) -> bytes:
     """Numbers as groups of seven bits, lowest first: frequent words have small numbers and take one byte."""
-    a = a.astype(np.uint32)
+    return b"".join(_varint_block(a[i : i + _BLOCK].astype(np.uint32)) for i in range(0, len(a), _BLOCK))
+
+
+def _varint_block(a: np.ndarray) -> bytes:
     cells = np.stack([(a >> np.uint32(7 * k)) & np.uint32(127) for k in range(5)], 1).astype(np.uint8)
     more = np.stack([a >> np.uint32(7 * k) > 0 for k in range(1, 5)] + [np.zeros(len(a), bool)], 1)
     used = np.concatenate([np.ones((len(a), 1), bool), more[:, :-1]], 1)
@@ -58,12 +65,22 @@ def _varints(a: np.ndarray) -> bytes:
 
 
 def _unvarints(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8)
+    raw, parts, at = np.frombuffer(b, np.uint8), [], 0
+    while at < len(raw):
+        end = min(at + _BLOCK, len(raw))
+        while raw[end - 1] > 127:  # up to the end of a number
+            end += 1
+        parts.append(_unvarint_block(raw[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def _unvarint_block(raw: np.ndarray) -> np.ndarray:
     last = np.flatnonzero(raw < 128)
-    first = np.append(0, last[:-1] + 1) if len(last) else last
+    first = np.append(0, last[:-1] + 1)
     place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
     parts = (raw & 127).astype(np.uint64) << (7 * place).astype(np.uint64)
-    return np.add.reduceat(parts, first).astype(np.uint32) if len(last) else np.zeros(0, np.uint32)
+    return np.add.reduceat(parts, first).astype(np.uint32)
 
 
 def _halves(a: np.ndarray) -> tuple[bytes, bytes]:
@@ -140,8 +157,11 @@ def _encode(vocab_path: str):
 
 
 def _assemble(vocab_path: str, digest: bool, decoded: bool):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    names = ["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"][: 1 + decoded]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = splitter(vocab_path).pieces
+        part = pd.concat(list(batches), ignore_index=True)
         doc_ids, sizes, numbers_of, of_rank = _unpack(part.blob[part.kind == 0].iloc[0])
         n = len(of_rank)
         count, lists = np.zeros(n, np.int64), []
@@ -156,13 +176,20 @@ def _assemble(vocab_path: str, digest: bool, decoded: bool):
         flat = np.zeros(int(count.sum()), np.int32)
         for own, ids in lists:
             flat[_places(start[own], count[own])] = ids
-        del lists
-        ends = (start + count).tolist()
-        spelt = [flat[a:b].tolist() for a, b in zip(start.tolist(), ends)] if digest or decoded else []
-        shown = [" ".join(map(str, x)) for x in spelt] if digest else []
-        read = [" ".join([pieces[i] for i in x]) for x in spelt]  # the join of id to piece
-        del spelt
-        ranks, at, out = _unvarints(numbers_of), 0, []
+        del lists, part
+        ends = start + count
+        shown = [" ".join(map(str, flat[a:b].tolist())) for a, b in zip(start, ends)] if digest else []
+        # the join of id to piece
+        read = [" ".join([pieces[i] for i in flat[a:b].tolist()]) for a, b in zip(start, ends)] if digest or decoded else []
+        textual = any(isinstance(x, str) for x in doc_ids)
+
+        def frame(out: list[list]) -> pd.DataFrame:
+            found = pd.DataFrame(out, columns=["doc_id", "n_tokens", *names])
+            if not textual:
+                found["doc_id"] = pd.array(found["doc_id"].tolist(), dtype="Int64")
+            return found
+
+        ranks, at, out, held = _unvarints(numbers_of), 0, [], 0
         for doc_id, size in zip(doc_ids, sizes):
             r = ranks[at : at + size]
             at += size
@@ -174,11 +201,13 @@ def _assemble(vocab_path: str, digest: bool, decoded: bool):
                 row.append(flat[_places(start[r], count[r])])
                 if decoded:
                     row.append(" ".join([read[i] for i in r.tolist()]))
+                held += max(len(row[-1]), row[1])
             out.append(row)
-        names = ["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"][: 1 + decoded]
-        found = pd.DataFrame(out, columns=["doc_id", "n_tokens", *names])
-        found["doc_id"] = pd.array(found["doc_id"].tolist(), dtype="Int64") if not found.doc_id.map(type).eq(str).any() else found["doc_id"]
-        return found
+            if held > SLICE:
+                yield frame(out)
+                out, held = [], 0
+        if out:
+            yield frame(out)
 
     return run
 

@@ -3,7 +3,10 @@
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -139,6 +142,29 @@ def test_bpe_and_counts(docs):
         assert counts[i] == (len(ids), len(t.encode()), len(ids) > 50)
 
 
+def test_varint_blocks(monkeypatch):
+    a = np.array([0, 127, 128, 16383, 16384, 2**32 - 1, 5] * 40, np.uint32)
+    whole = bpe._varints(a)
+    monkeypatch.setattr(bpe, "_BLOCK", 7)
+    assert bpe._varints(a) == whole and bpe._unvarints(whole).tolist() == a.tolist()
+    assert bpe._unvarints(b"").tolist() == [] and bpe._varints(a[:0]) == b""
+
+
+def test_bpe_in_small_slices(docs, monkeypatch):
+    want = by_id(bpe.encode(docs, VOCAB), "ids", "decoded", "n_tokens")
+    monkeypatch.setattr(bpe, "SLICE", 50)
+    run = bpe._assemble(VOCAB, False, True)
+    split, encoded = bpe._split(VOCAB, 3), bpe._encode(VOCAB)
+    texts = pa.RecordBatch.from_pydict({"doc_id": list(TEXTS), "text": list(TEXTS.values())})
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    parts = pa.Table.from_batches(split(iter([texts]))).to_pandas()
+    words = [encoded(g) for _, g in parts[parts.kind == 1].groupby("bucket")]
+    frames = list(run(iter([parts[parts.kind == 0], *words])))
+    assert len(frames) > 5
+    got = {r.doc_id: (list(r.ids), r.decoded, r.n_tokens) for f in frames for r in f.itertuples()}
+    assert got == want
+
+
 def test_words_are_proved_alone():
     lib = Tokenizer.from_file(VOCAB)
     proved = bpe.splitter(VOCAB).single_words()

@@ -75,3 +75,11 @@ def test_bpe(stages):
     want = sorted((r["doc_id"], lib.encode(r["text"], add_special_tokens=False).ids) for r in rows(before))
     assert sorted((r["doc_id"], r["ids"]) for r in rows(after)) == want
     assert all(r["n_tokens"] == len(r["ids"]) for r in rows(after))
+
+
+def test_bpe_decodes(stages):
+    before, after = stages["bpe"]
+    lib = Tokenizer.from_file(registry.vocabulary())
+    want = sorted(lib.decode(lib.encode(r["text"], add_special_tokens=False).ids, skip_special_tokens=False) for r in rows(before))
+    assert sorted(r["decoded"] for r in rows(after)) == want
+    assert all(r["decoded"] == lib.decode(r["ids"], skip_special_tokens=False) for r in rows(after))
