@@ -12,7 +12,7 @@ from corvane.operators import index as ix
 from corvane.operators import statistics as st
 from corvane.plans.q_search import posting_rows, unit_rows
 from corvane.plans.queries import POSTINGS, TERMS, TOKENS, UNITS, query
-from corvane.sources.corpus import page_sections, table, turns
+from corvane.sources.corpus import numbered, page_sections, table, turns
 
 STOP = "(" + ", ".join(f"'{w}'" for w in tk.STOPWORDS) + ")"
 _DOCS = "documents"
@@ -132,6 +132,11 @@ def fl7_judgments(spark, sf):
     return table(spark, sf, "labels").where("quality = 1 and doc_id % 2 = 0").select("doc_id", "quality", "toxic").orderBy("doc_id")
 
 
+@query("fl7_all_judgments", "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1")
+def fl7_all_judgments(spark, sf):
+    return table(spark, sf, "labels").where("quality = 1").select("doc_id", "quality", "toxic")
+
+
 _SAMPLE = {"digit": "[0-9]", "percent": "%", "capitals": r"\p{Lu}{4}", "accent": "[éèäöüñ]", "bar": r"\|", "mail": "@"}
 _SAMPLE_SQL = " UNION ALL ".join(
     f"SELECT '{n}' AS category, unit_id FROM (SELECT unit_id, row_number() OVER (ORDER BY length(text), unit_id) AS r, count(*) OVER () AS n FROM units WHERE regexp_matches(text, '{p}')) WHERE r = n // 2 + 1"
@@ -356,6 +361,11 @@ def sc3_ids(spark, sf):
     return d.withColumn("r", F.row_number().over(Window.orderBy("source", "doc_id"))).select("doc_id", F.format_string("D%02d", "r").alias("assigned"))
 
 
+@query("sc3_all_ids", "SELECT doc_id, printf('D%02d', row_number() OVER (ORDER BY source, doc_id)) AS assigned FROM documents")
+def sc3_all_ids(spark, sf):
+    return numbered(docs(spark, sf).select("doc_id", "source"), "source", "doc_id").select("doc_id", F.format_string("D%02d", "number").alias("assigned"))
+
+
 @query("sc2_inventory", "SELECT doc_id, octet_length(encode(text)) AS bytes, sha256(text) AS sha256, CASE WHEN octet_length(encode(text)) < 512 THEN 'INVALID' ELSE 'OK' END AS status FROM documents")
 def sc2_inventory(spark, sf):
     n = F.octet_length("text").cast("long")

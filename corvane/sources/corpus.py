@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.plans.scratch import materialize
+
 UNIT_SCHEMA = T.StructType(
     [T.StructField(n, k()) for n, k in (
         ("unit_id", T.StringType), ("document_id", T.StringType), ("source_id", T.StringType), ("page_id", T.StringType),
@@ -19,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, *by: str) -> DataFrame:
+    """Each row with its ``number`` from 1 in the order of ``by``: counted inside key ranges, which start after the rows of those before."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return dealt.withColumn("number", inside).join(F.broadcast(starts), "_range").withColumn("number", F.col("number") + F.col("_start")).drop("_range", "_start")
+
+
 def units(documents: DataFrame) -> DataFrame:
     """(unit_id, document_id, source_id, lang, unit_index, unit_type, text): the lines that aren't blank."""
     lines = documents.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("unit_index", "text"))
