@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +62,23 @@ def ngram_rows(counts: DataFrame, n: int) -> DataFrame:
     )
 
 
-def mined_phrases(counts: DataFrame, n: int, least: int = 5, least_units: int = 3, most_function: float = 0.85, k: int = 1200) -> DataFrame:
+def ngram_rows_of(units: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """Rows of the n-grams of each size, those that occur once among them."""
+    return reduce(DataFrame.unionByName, [ngram_rows(ngram_counts(units, n), n) for n in sizes])
+
+
+def ngram_summary(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("n").agg(F.sum("freq").alias("total"), F.count(F.lit(1)).alias("unique_ngrams"), F.count_if(F.col("freq") == 1).alias("singletons"))
+
+
+def ranked_phrases(rows: DataFrame, least: int = 5, least_units: int = 3, most_function: float = 0.85, k: int = 1200) -> DataFrame:
+    """The first ``k`` of the rows of all sizes together."""
     good = (F.col("freq") >= least) & (F.col("units") >= least_units) & (F.col("function_ratio") < most_function)
-    return ngram_rows(counts, n).where(good).orderBy(F.desc("freq"), F.desc("n"), "ngram").limit(k)
+    return rows.where(good).orderBy(F.desc("freq"), F.desc("n"), "ngram").limit(k)
+
+
+def mined_phrases(counts: DataFrame, n: int, least: int = 5, least_units: int = 3, most_function: float = 0.85, k: int = 1200) -> DataFrame:
+    return ranked_phrases(ngram_rows(counts, n), least, least_units, most_function, k)
 
 
 def furniture(lines: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:

@@ -288,6 +288,38 @@ def ng5_mined(spark, sf):
     return st.mined_phrases(st.ngram_counts(unit_rows(spark, sf), 2), 2)
 
 
+_ROWS = "SELECT ngram, CAST({n} AS BIGINT) AS n, freq, units, round(ratio, 4) AS function_ratio, ratio < 0.85 AS has_content, freq > 1 AS repeated FROM f"
+_SUMMARY = "SELECT CAST({n} AS BIGINT) AS n, CAST(sum(freq) AS BIGINT) AS total, count(*) AS unique_ngrams, count(*) FILTER (freq = 1) AS singletons FROM c"
+
+
+def _each(select: str, sizes) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM (WITH {_grams(n)} {select.format(n=n)})" for n in sizes)
+
+
+@query("ng2_all_ngrams", _each("SELECT CAST({n} AS BIGINT) AS n, ngram, freq, units, first_unit FROM c", range(1, 6)))
+def ng2_all_ngrams(spark, sf):
+    u, out = unit_rows(spark, sf), None
+    for n in range(1, 6):
+        rows = st.ngram_counts(u, n).select(F.lit(n).cast("long").alias("n"), "ngram", "freq", "units", "first_unit")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("ng3_all_rows", _each(_ROWS, range(1, 6)))
+def ng3_all_rows(spark, sf):
+    return st.ngram_rows_of(unit_rows(spark, sf), (1, 2, 3, 4, 5))
+
+
+@query("ng4_all_summary", _each(_SUMMARY, range(1, 6)))
+def ng4_all_summary(spark, sf):
+    return st.ngram_summary(st.ngram_rows_of(unit_rows(spark, sf), (1, 2, 3, 4, 5)))
+
+
+@query("ng5_all_mined", f"SELECT * FROM ({_each(_ROWS, (2, 3, 4))}) WHERE freq >= 5 AND units >= 3 AND function_ratio < 0.85 ORDER BY freq DESC, n DESC, ngram LIMIT 1200")
+def ng5_all_mined(spark, sf):
+    return st.ranked_phrases(st.ngram_rows_of(unit_rows(spark, sf), (2, 3, 4)))
+
+
 @query(
     "ng6_stopword_effect",
     f"""WITH {_grams(2)}, t2 AS (SELECT unit_id, list_filter(a, lambda w: w NOT IN {STOP}) AS a FROM t),

@@ -1,5 +1,6 @@
 """Queries that read the whole table, beside their checked slices."""
 
+from corvane.operators import statistics as st
 from corvane.plans import registry
 from corvane.sources.corpus import numbered
 
@@ -22,3 +23,14 @@ def test_odd_judgments_stay(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
     got = {r.doc_id for r in registry.queries()["fl7_all_judgments"](spark, SF).collect()}
     assert got == {r.doc_id for r in labels if r.quality == 1} and any(i % 2 for i in got)
+
+
+def test_ngrams_of_all_sizes(spark):
+    texts = ["red fox runs far away", "red fox runs far away", "red fox sleeps", "a red fox runs", "red fox runs far", "red fox runs far"]
+    units = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(texts)], "unit_id string, text string")
+    rows = st.ngram_rows_of(units, (1, 2, 3, 4, 5))
+    freq = {r.ngram: (r.n, r.freq, r.repeated) for r in rows.collect()}
+    assert freq["fox sleeps"] == (2, 1, False) and freq["red fox runs far away"] == (5, 2, True)
+    assert sorted((r.n, r.total) for r in st.ngram_summary(rows).collect()) == [(1, 25), (2, 19), (3, 13), (4, 7), (5, 2)]
+    mined = [(r.n, r.ngram) for r in st.ranked_phrases(st.ngram_rows_of(units, (2, 3, 4)), 4).collect()]
+    assert mined == [(2, "red fox"), (3, "red fox runs"), (2, "fox runs"), (4, "red fox runs far"), (3, "fox runs far"), (2, "runs far")]
