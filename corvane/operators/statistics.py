@@ -93,17 +93,24 @@ def strip_furniture(lines: DataFrame, found: DataFrame) -> DataFrame:
     return marked.join(found.select("source_id", "line"), ["source_id", "line"], "left_anti").drop("line")
 
 
-def identical(docs: DataFrame, least: int = 0, chars: int = 200_000) -> DataFrame:
-    """(doc_id, duplicate_of): later rows whose first characters have the hash of an earlier row."""
-    keyed = docs.where(F.length("text") >= least).select("doc_id", F.sha2(F.substring("text", 1, chars), 256).alias("h"))
+def identical(docs: DataFrame, least: int = 0, chars: int | None = None) -> DataFrame:
+    """(doc_id, duplicate_of): later rows whose text, or its first ``chars`` characters, has the hash of an earlier row."""
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    keyed = docs.where(F.length("text") >= least).select("doc_id", F.sha2(text, 256).alias("h"))
     first = keyed.groupBy("h").agg(F.min("doc_id").alias("duplicate_of"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return keyed.join(first, "h").where("doc_id > duplicate_of").select("doc_id", "duplicate_of")
 
 
-def shingle_overlap(docs: DataFrame, size: int = 200, chars: int = 20_000, least: float = 0.995, least_chars: int = 5000) -> DataFrame:
-    """(doc_id, owner, similarity): share of a row's fixed blocks first seen in an earlier row."""
-    long = docs.where(F.length("text") >= least_chars).select("doc_id", F.substring("text", 1, chars).alias("t"))
-    starts = F.sequence(F.lit(0), F.floor(F.length("t") / size).cast("int") - 1)
+def shingle_overlap(docs: DataFrame, size: int = 200, chars: int | None = None, least: float = 0.995, least_chars: int = 5000) -> DataFrame:
+    """(doc_id, owner, similarity): share of a row's fixed blocks first seen in an earlier row.
+
+    The blocks cover the whole text, the last one shorter.  With ``chars`` it is a probe of the opening:
+    the whole blocks of the first ``chars`` characters.
+    """
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    long = docs.where(F.length("text") >= F.greatest(F.lit(least_chars), F.lit(1))).select("doc_id", text.alias("t"))
+    n = F.ceil(F.length("t") / size) if chars is None else F.floor(F.length("t") / size)
+    starts = F.sequence(F.lit(0), n.cast("int") - 1)
     blocks = long.select("doc_id", F.explode(F.transform(starts, lambda i: F.substring(F.col("t"), i * size + 1, F.lit(size)))).alias("b"))
     keyed = blocks.select("doc_id", F.md5("b").alias("h"))
     owner = keyed.groupBy("h").agg(F.min("doc_id").alias("owner"))

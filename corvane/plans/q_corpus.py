@@ -346,6 +346,11 @@ def du1_identical(spark, sf):
 
 @query("du2_identical_head", "SELECT doc_id, o AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(substr(text, 1, 200000))) AS o FROM documents WHERE length(text) >= 1000) WHERE o < doc_id")
 def du2_identical_head(spark, sf):
+    return st.identical(docs(spark, sf), 1000, chars=200_000)
+
+
+@query("du2_identical_whole", "SELECT doc_id, o AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS o FROM documents WHERE length(text) >= 1000) WHERE o < doc_id")
+def du2_identical_whole(spark, sf):
     return st.identical(docs(spark, sf), 1000)
 
 
@@ -357,6 +362,17 @@ def du2_identical_head(spark, sf):
     SELECT * FROM (SELECT doc_id, owner, round(count(*) / CAST(any_value(n) AS DOUBLE), 6) AS similarity FROM b JOIN o USING (h) JOIN n USING (doc_id) WHERE owner < doc_id GROUP BY 1, 2) WHERE similarity >= 0.5""",
 )
 def du3_near(spark, sf):
+    return st.shingle_overlap(docs(spark, sf), chars=20_000, least=0.5, least_chars=1000)
+
+
+@query(
+    "du3_near_whole",
+    """WITH t AS (SELECT doc_id, text AS t FROM documents WHERE length(text) >= 1000),
+    b AS (SELECT doc_id, md5(substr(t, i * 200 + 1, 200)) AS h FROM (SELECT doc_id, t, unnest(range(0, (length(t) + 199) // 200)) AS i FROM t)),
+    o AS (SELECT h, min(doc_id) AS owner FROM b GROUP BY 1), n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY 1)
+    SELECT * FROM (SELECT doc_id, owner, round(count(*) / CAST(any_value(n) AS DOUBLE), 6) AS similarity FROM b JOIN o USING (h) JOIN n USING (doc_id) WHERE owner < doc_id GROUP BY 1, 2) WHERE similarity >= 0.5""",
+)
+def du3_near_whole(spark, sf):
     return st.shingle_overlap(docs(spark, sf), least=0.5, least_chars=1000)
 
 

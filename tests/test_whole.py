@@ -34,3 +34,14 @@ def test_ngrams_of_all_sizes(spark):
     assert sorted((r.n, r.total) for r in st.ngram_summary(rows).collect()) == [(1, 25), (2, 19), (3, 13), (4, 7), (5, 2)]
     mined = [(r.n, r.ngram) for r in st.ranked_phrases(st.ngram_rows_of(units, (2, 3, 4)), 4).collect()]
     assert mined == [(2, "red fox"), (3, "red fox runs"), (2, "fox runs"), (4, "red fox runs far"), (3, "fox runs far"), (2, "runs far")]
+
+
+def test_texts_are_read_to_their_end(spark):
+    head = "".join(f"{i:08d}" for i in range(30_000))  # 240,000 characters
+    rest = "".join(f"r{i:07d}" for i in range(30_000))
+    docs = spark.createDataFrame([(1, head), (2, head[:200_000] + rest), (3, head + "tail"), (4, head)], "doc_id long, text string")
+    assert [tuple(r) for r in st.identical(docs).collect()] == [(4, 1)]
+    got = {(r.doc_id, r.owner): r.similarity for r in st.shingle_overlap(docs, least=0.1).collect()}
+    assert got == {(2, 1): round(1000 / 2200, 6), (3, 1): round(1200 / 1201, 6), (4, 1): 1.0}
+    opening = {r.doc_id: r.similarity for r in st.shingle_overlap(docs, chars=20_000).collect()}
+    assert opening == {2: 1.0, 3: 1.0, 4: 1.0}
