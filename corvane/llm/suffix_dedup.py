@@ -1,13 +1,13 @@
-"""Removal of long repeated byte strings by a logarithmic family of sparse suffix arrays.
+"""Removal of long repeated byte strings by a logarithmic family of anchor tables in place of suffix arrays.
 
 A string of ``LENGTH`` bytes is repeated if it starts anywhere else in the corpus.  Suffixes are
 indexed at content-defined anchors only: in every window of ``LENGTH`` bytes the anchor is the place
 of the smallest hash of ``GRAM`` bytes (the first one if several).  Equal windows have equal anchors,
 so two equal strings always meet under the anchor's key, and about one suffix in eighty is indexed.
 
-A *batch* of documents is turned into a suffix array: its entries (key, context) sorted by key, the
-context being the bytes of all windows that share the anchor.  The array is merge-scanned (a sorted
-join on the key) against itself and every existing level; keys met more than once are reported.  Then
+A *batch* of documents is turned into a table: its entries (key, context) sorted by key within a part,
+the context being the bytes of all windows that share the anchor.  Keys are hashes, so there is no
+order of suffixes.  The table is scanned (a semi-join on the key) against itself and every existing level; keys met more than once are reported.  Then
 the batch becomes a level, and levels of equal size merge, two of rank r giving one of rank r + 1, so
 the index holds at most log2(batches) levels and every entry is rewritten as often at most.
 
