@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +13,8 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A side of a join is broadcast up to so many rows of a few numbers or hashes each; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,3 +28,49 @@ def whole_text(col: str = "text") -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` does not have in any case, one for each stem."""
+    own, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in own:
+            name += "_"
+        own.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sized(side: DataFrame, rows: int | None = None) -> DataFrame:
+    """``side``, a written table of slim rows, marked for broadcast if it has at most ``BROADCAST_ROWS`` rows."""
+    n = side.count() if rows is None else rows
+    return F.broadcast(side) if n <= BROADCAST_ROWS else side
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups and the bounds of the groups, from batches sorted by the integer columns ``keys``.
+
+    Only the last group of a batch is held until the next batch comes.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        cuts = _bounds(table, keys)
+        held = table.slice(int(cuts[-2]))
+        if len(cuts) > 2:
+            yield table.slice(0, int(cuts[-2])), cuts[:-1]
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def _bounds(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    new = np.zeros(table.num_rows - 1, bool)
+    for k in keys:
+        a = table.column(k).to_numpy()
+        new |= a[1:] != a[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [table.num_rows]])

@@ -17,20 +17,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label) of every node of ``edges`` (u, v): ``label`` is the smallest id of its component.
 
     Each round links nodes to the smallest neighbour they know; it ends when nothing moves, after a
-    number of rounds logarithmic in the length of the longest chain.  A hub is one row on the side
-    that carries its smallest neighbour, so its edges can be split over tasks.
+    number of rounds logarithmic in the length of the longest chain.  The smallest neighbours are
+    written before they are joined, so both sides of the join come from an exchange and a hub, one
+    row on that side, can have its edges split over tasks.
     """
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     state = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: below each node, all smaller neighbours go to the smallest
+        large = materialize(large, "large")
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
         later = materialize(small.where("u != v").distinct(), "edges")
-        release(now)
+        release(now, low, large)
         now, before, state = later, state, _state(later)
         if state == before:
             break

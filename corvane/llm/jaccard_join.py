@@ -4,48 +4,63 @@ A text is the set of its 5-word shingles (words are runs without white space; a
 is one shingle).  Equal sets are one node with a multiplicity, so copies never meet pairwise.
 
 Each node has MinHash values (its sampled tokens) and a one-bit sketch.  A run puts nodes into
-buckets by one sampled token; buckets over ``SMALL`` members are split again by further sampled
-tokens, three branches each, down to ``DEPTH``; two sets of similarity s stay together with
-probability s per token.  Runs repeat until 1 - (1 - s)^runs reaches the target recall at s = 0.8.
-Buckets still too large at the last depth are cut into blocks, and each pair of blocks is a bucket.
-Small buckets are searched by brute force over sketches: from each node reached, the rest of the
-bucket is compared, and who is close enough joins; a bucket of m members that are all alike costs m
-comparisons and gives m - 1 edges.
-
-The edges give candidate components; any pair that a bucket connects lies in one.  Inside a component
-exact similarities of all pairs are counted from the shingles themselves, in blocks of ``BLOCK``
-nodes, never as rows of pairs: a task returns each node's number of links and a spanning forest.
-Components of the true links are the classes.
-
-Cases: a null text is empty; an empty text has no shingles, no links and a class of its own; null ids
-sort last as class ids; repeated rows are copies of each other; an empty table gives an empty result;
-other columns are not read by ``links`` and pass through ``deduplicate``.
+buckets by one sampled token; two sets of similarity s stay together with probability s per token.
+Runs repeat until 1 - (1 - s)^runs reaches the target recall at s = 0.8.  Buckets of at most
+``SMALL`` members are searched by brute force over sketches: from each node reached, the rest of the
+bucket is compared, and who is close enough joins; members that are all alike cost one comparison
+and one edge each.
+
+A larger bucket first meets one of its members, its pivot: one row joins each member, no pairs.
+Members near the pivot (``ALIKE``) get an edge to it and leave the bucket; members less near
+(``LOOSE``) get an edge and stay, so whoever is linked to a member that left is tied to the same
+pivot.  If the pivot took fewer than ``SHARE`` of a bucket, the rest is unlike and is split by
+further sampled tokens, ``BRANCHES`` of them; else it meets the next pivot.  So alike buckets shrink
+by a share each round and unlike ones fall apart, and neither multiplies with its size.
+
+The edges give candidate components.  Inside a component exact similarities are counted from the
+shingles themselves: components of up to ``BLOCK`` nodes in one place, larger ones in blocks of about
+``BLOCK`` nodes that are packed into one row each; pairs of blocks meet, never rows of pairs, and a
+task holds two blocks.  Tasks return each node's number of links and a spanning forest.  Components of
+the true links are the classes.
+
+Cases: a null text is empty; an empty text has no shingles, no links and a class of its own; very
+long texts are read whole and count by their bytes when blocks are formed; null ids are linked like
+others and sort last as class ids (a class of null ids only has a null ``class_id``); repeated rows are
+copies of each other; ties between pivots fall by a hash; an empty table gives an empty result; other
+columns are not read by ``links`` and pass through ``deduplicate`` whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import shuffle_width
+from corvane.llm.common import BROADCAST_ROWS, fresh, sized, whole_groups, whole_text
 from corvane.llm.components import components
-from corvane.plans.scratch import materialize
+from corvane.plans.scratch import materialize, release
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
-#: Members of a bucket that is searched by brute force; splits of a larger one; nodes of a block.
-SMALL, BRANCHES, DEPTH, BLOCK = 1500, 3, 3, 512
-TOKENS, BITS = 32, 256
+#: Members of a bucket that is searched by brute force; tokens an unlike bucket is split by; splits at most.
+SMALL, BRANCHES, DEPTH = 2048, 3, 4
+#: Nodes of a block and bytes of its shingles, one node at least.
+BLOCK, BLOCK_BYTES = 1024, 24 << 20
+TOKENS, WORDS64 = 32, 4
+BITS = 64 * WORDS64
 #: Equal sketch bits of a candidate: four deviations below the mean at the threshold.
 _MEAN = (1 + SIMILARITY) / 2
 CLOSE = math.floor(BITS * _MEAN - 4 * math.sqrt(BITS * _MEAN * (1 - _MEAN)))
+#: Estimated similarity to a pivot from which a member leaves the bucket, from which it gets an edge, and
+#: the share of a bucket that must leave for another pivot to be taken.
+ALIKE, LOOSE, SHARE = 0.65, 0.45, 0.15
 MEMORY_WORDS = 200_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -53,7 +68,7 @@ _known: dict[str, int] = {}
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 1 << 31, BITS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BITS, dtype=np.uint32)
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
+_SKETCH = [f"s{i}" for i in range(WORDS64)]
 
 
 def runs_for(recall: float, similarity: float) -> int:
@@ -93,35 +108,40 @@ def _minima(s: np.ndarray) -> np.ndarray:
     return low
 
 
-def _set_id(s: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(s.tobytes())
+def _set_id(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def _features(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, sid, size, tokens, sketch words) of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_hash", "sid", "size", "tokens", *_SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sids, sizes, tokens, sketches = [], [], [], []
             for text in batch.column("text"):
-                s = shingles(text.as_py() or "")
+                s = shingles(text.as_py())
                 low = _minima(s)
                 sids.append(_set_id(s))
                 sizes.append(len(s))
                 tokens.append(low[:TOKENS].view(np.int32))
                 bits = (low * np.uint32(0x85EBCA6B)) >> np.uint32(31)
-                sketches.append(np.packbits(bits.astype(np.uint8)).tobytes())
+                sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            words = np.array(sketches, np.int64).reshape(-1, WORDS64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sids, pa.string()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "sid", "size", "tokens", "sketch"],
-            )
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int32())),
+                 *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS64))],
+                names=names,
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sid string, size int, tokens array<int>, sketch binary")
+    slim = docs.select("doc_id", whole_text().alias("text")).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return slim.mapInArrow(run, f"doc_id {kind}, text_hash bigint, sid binary, size int, tokens array<int>, " + ", ".join(f"{c} bigint" for c in _SKETCH))
 
 
-def _search(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> tuple[list, list]:
-    """Spanning edges of the candidate graph of one bucket."""
-    rest, u, v = np.arange(len(ids)), [], []
+def _search(sizes: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of the candidate graph of one bucket, as places."""
+    rest, u, v = np.arange(len(sizes)), [], []
     queue: list[int] = []
     root = 0
     while len(rest):
@@ -131,74 +151,99 @@ def _search(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> tuple[l
         pivot = queue.pop()
         if not len(rest):
             continue
-        even = BITS - _ONES[sketches[rest] ^ sketches[pivot]].sum(axis=1)
+        even = BITS - np.bitwise_count(sketches[rest] ^ sketches[pivot]).sum(axis=1, dtype=np.int32)
         small, large = np.minimum(sizes[rest], sizes[pivot]), np.maximum(sizes[rest], sizes[pivot])
         hit = (even >= CLOSE) & (small >= SIMILARITY * large - 1e-9)
         found = rest[hit]
         rest = rest[~hit]
         queue.extend(found.tolist())
-        u += [ids[k] for k in found]
-        v += [ids[root]] * len(found)
-    return u, v
-
-
-def _bucket_edges(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("key", kind="stable")
-    key = part.key.to_numpy()
-    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    ids, sizes = part.sid.to_numpy(object), part["size"].to_numpy()
-    sketches = np.frombuffer(b"".join(part.sketch), np.uint8).reshape(len(part), -1)
-    u: list = []
-    v: list = []
-    for a, b in zip(cuts, np.append(cuts[1:], len(key))):
-        if b - a > 1:
-            x, y = _search(ids[a:b], sizes[a:b], sketches[a:b])
-            u += x
-            v += y
-    return pd.DataFrame({"u": u, "v": v}, dtype=object).drop_duplicates()
-
-
-def _candidate_edges(nodes: DataFrame, runs: int, small: int, depth: int, width: int) -> DataFrame:
+        u.append(found)
+        v.append(np.full(len(found), root))
+    return (np.concatenate(u), np.concatenate(v)) if u else (rest, rest)
+
+
+def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of the buckets in rows sorted by key; one bucket and one batch are held."""
+    for table, cuts in whole_groups(batches, "key"):
+        several = np.flatnonzero(np.diff(cuts) > 1)
+        if not len(several):
+            continue
+        nid, sizes = table.column("nid").to_numpy(), table.column("size").to_numpy()
+        sketches = np.stack([table.column(c).to_numpy().view(np.uint64) for c in _SKETCH], 1)
+        found = []
+        for g in several:
+            a, b = cuts[g], cuts[g + 1]
+            x, y = _search(sizes[a:b], sketches[a:b])
+            if len(x):
+                found.append((nid[a:b][x], nid[a:b][y]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["u", "v"])
+
+
+_ROW = ["nid", "size", *_SKETCH]
+
+
+def _even(other: str) -> Column:
+    """Equal sketch bits of a row and of a pivot."""
+    unlike = F.lit(0)
+    for c in _SKETCH:
+        unlike = unlike + F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}.{c}")))
+    return F.lit(BITS) - unlike
+
+
+def _candidate_edges(nodes: DataFrame, runs: int, small: int, depth: int) -> DataFrame:
     """Spanning candidate edges (u, v) over all buckets of all runs."""
     keys = F.array(*(F.xxhash64(F.lit(r), F.element_at("tokens", r + 1)) for r in range(runs)))
-    level = nodes.select("sid", "size", "sketch", F.explode(keys).alias("key"))
-    leaves: DataFrame | None = None
-    for at in range(depth + 1):
-        level = materialize(level, "paths")
-        counts = level.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        counts = materialize(counts, "buckets")
-        leaf = level.join(counts.where(F.col("m") <= small).select("key"), "key")
-        large = level.join(counts.where(F.col("m") > small), "key")
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        if counts.where(F.col("m") > small).isEmpty():
-            break
-        if at == depth:
-            # blocks of a bucket: every pair of blocks meets once
-            blocks = F.ceil(F.col("m") / small).cast("int")
-            own = F.pmod(F.xxhash64("sid", "key"), F.col("_n").cast("long")).cast("int")
-            paired = large.withColumn("_n", blocks).withColumn("_b", own)
-            paired = paired.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-            key = F.xxhash64("key", F.least("_b", "_o"), F.greatest("_b", "_o"))
-            leaves = leaves.unionByName(paired.withColumn("key", key).select("key", "sid", "size", "sketch"))
-            break
-        branch = large.withColumn("_j", F.explode(F.array(*map(F.lit, range(BRANCHES)))))
+    level = nodes.select(F.explode(keys).alias("key"), F.lit(0).alias("deep"), F.lit(False).alias("split"), *_ROW)
+    edges: DataFrame | None = None
+    step, held = 0, []
+    while True:
+        hot = materialize(level.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > small), "hot")
+        n_hot = hot.count()
+        cold = level.join(sized(hot.select("key"), n_hot), "key", "left_anti") if n_hot else level
+        cold = cold.select("key", *_ROW).repartition("key").sortWithinPartitions("key")
+        found = cold.mapInArrow(_bucket_edges, "u bigint, v bigint")
+        if not n_hot:
+            return found if edges is None else edges.unionByName(found)
+        found = materialize(found, "paths")
+        edges = found if edges is None else edges.unionByName(found)
+        large = materialize(level.join(sized(hot.select("key"), n_hot), "key", "left_semi"), "large")
+        release(*held)
+        held = [large]
+        # unlike buckets fall apart by further tokens
+        branch = F.col("split") & (F.col("deep") < depth)
+        unlike = large.where(branch).join(nodes.select("nid", "tokens"), "nid")
+        unlike = unlike.withColumn("_j", F.explode(F.array(*map(F.lit, range(BRANCHES)))))
         place = (runs + F.pmod(F.xxhash64("key", "_j"), F.lit(TOKENS - runs)) + 1).cast("int")
-        branch = branch.join(nodes.select("sid", "tokens"), "sid").withColumn("_p", place)
-        key = F.xxhash64("key", "_p", F.element_at("tokens", F.col("_p")))
-        level = branch.select("sid", "size", "sketch", key.alias("key")).distinct()
-    part = F.pmod("key", F.lit(4 * width)).alias("part")
-    return leaves.select(part, "key", "sid", "size", "sketch").groupBy("part").applyInPandas(_bucket_edges, "u string, v string")
-
-
-def _sets(docs: DataFrame) -> DataFrame:
+        key = F.xxhash64("key", place, F.element_at("tokens", place))
+        unlike = unlike.select(key.alias("key"), (F.col("deep") + 1).alias("deep"), F.lit(False).alias("split"), *_ROW).distinct()
+        # the others meet a pivot
+        alike = large.where(~branch)
+        pivots = alike.groupBy("key").agg(F.min_by(F.struct(*_ROW), F.struct(F.xxhash64("nid", "key", F.lit(step)), "nid")).alias("p"))
+        pivots = materialize(pivots, "pivots")
+        ratio = F.least("size", "p.size") / F.greatest("size", "p.size")
+        judged = alike.join(sized(pivots, n_hot), "key").withColumn("even", _even("p"))
+        judged = materialize(judged.where("nid != p.nid").select("key", "deep", *_ROW, F.col("p.nid").alias("p"), "even", ratio.alias("ratio")), "judged")
+        bits = lambda s: BITS * (1 + s) / 2
+        edges = edges.unionByName(judged.where((F.col("even") >= bits(LOOSE)) & (F.col("ratio") >= LOOSE)).select(F.col("nid").alias("u"), F.col("p").alias("v")))
+        near = F.col("even") >= bits(ALIKE)
+        took = materialize(judged.groupBy("key").agg((F.avg(near.cast("double")) < SHARE).alias("split")), "took")
+        rest = judged.where(~near).join(sized(took, n_hot), "key").select("key", "deep", "split", *_ROW)
+        level = materialize(rest.unionByName(unlike), "level")
+        held.append(level)
+        release(hot)
+        step += 1
+
+
+def _sets(texts: DataFrame) -> DataFrame:
     """(sid, shingles) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_set_id, found), pa.string()), pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "shingles"])
+            found = [shingles(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_set_id, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "sid string, shingles binary")
+    return texts.select("text").mapInArrow(run, "sid binary, shingles binary")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -223,34 +268,104 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(part: pd.DataFrame) -> pd.DataFrame:
-    """Links and spanning forest of the groups of one task."""
-    out_id, out_label, out_links = [], [], []
-    for _, g in part.groupby("grp", sort=False):
-        ids, mult, block = g.sid.tolist(), g.mult.to_numpy(), g.block.to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in g.shingles]
-        if len(sets) < 2:
-            continue
-        size = np.array([len(s) for s in sets])
-        both = _overlaps(sets)
-        near = both >= SIMILARITY * (size[:, None] + size[None, :] - both) - 1e-9
-        np.fill_diagonal(near, False)
-        if g.cross.iloc[0]:  # pairs within a block are another task's
-            near &= block[:, None] != block[None, :]
-        links = (near * mult[None, :]).sum(axis=1)
-        label = np.arange(len(ids))
-        while True:  # smallest reachable number
-            low = np.where(near, label[None, :], len(ids)).min(axis=1)
-            new = np.minimum(label, low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        linked = np.flatnonzero(links)
-        out_id += [ids[k] for k in linked]
-        out_label += [ids[label[k]] for k in linked]
-        out_links += links[linked].tolist()
-    return pd.DataFrame({"sid": pd.Series(out_id, dtype=object), "label": pd.Series(out_label, dtype=object), "links": pd.Series(out_links, dtype="int64")})
+def _verify(nid: np.ndarray, mult: np.ndarray, sets: list[np.ndarray], first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, smallest node that links lead to, number of links) of the nodes with links.
+
+    With ``first``, only pairs between the first so many nodes and the others count.
+    """
+    size = np.array([len(s) for s in sets])
+    both = _overlaps(sets)
+    near = both >= SIMILARITY * (size[:, None] + size[None, :] - both) - 1e-9
+    np.fill_diagonal(near, False)
+    if first:
+        near[:first, :first] = near[first:, first:] = False
+    links = (near * mult[None, :]).sum(axis=1)
+    order = np.argsort(nid)
+    label = np.empty(len(nid), np.int64)
+    label[order] = np.arange(len(nid))  # by node number, so that the smallest label is the smallest node
+    while True:
+        low = np.where(near, label[None, :], len(nid)).min(axis=1)
+        new = np.minimum(label, low)
+        new = np.minimum(new, new[order[new]])
+        if (new == label).all():
+            break
+        label = new
+    linked = np.flatnonzero(links)
+    return nid[linked], nid[order[label[linked]]], links[linked]
+
+
+_FOUND = "nid bigint, root bigint, links bigint, label bigint, block int, blob binary"
+_FOUND_ARROW = pa.schema([("nid", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("label", pa.int64()), ("block", pa.int32()), ("blob", pa.binary())])
+
+
+def _results(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    nid, root, links = (np.concatenate(x) for x in zip(*parts))
+    none = pa.nulls(len(nid))
+    return pa.RecordBatch.from_arrays([pa.array(nid), pa.array(root), pa.array(links), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_FOUND_ARROW)
+
+
+def _group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    sets = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("shingles")]
+    return table.column("nid").to_numpy(), table.column("mult").to_numpy(), sets
+
+
+def _verify_or_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results of whole components; one packed row for each block of the others."""
+    pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+    for table, cuts in whole_groups(batches, "label", "block"):
+        done = []
+        labels, blocks, counts = (table.column(c).to_numpy() for c in ("label", "block", "blocks"))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if counts[a] > 1:
+                blob = pack(pickle.dumps(_group(table.slice(a, b - a)), protocol=5))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([None], pa.int64()) for _ in range(3)), pa.array([labels[a]], pa.int64()), pa.array([blocks[a]], pa.int32()), pa.array([blob], pa.binary())], schema=_FOUND_ARROW
+                )
+            elif b - a > 1:
+                done.append(_verify(*_group(table.slice(a, b - a))))
+        if done:
+            yield _results(done)
+
+
+def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results of single blocks and of pairs of blocks, in rows sorted by (label, one, two)."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for table, cuts in whole_groups(batches, "label", "one", "two"):
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            groups = [pickle.loads(unpack(x.as_py())) for x in table.column("blob").slice(a, b - a)]
+            nid, mult = (np.concatenate([g[k] for g in groups]) for k in (0, 1))
+            yield _results([_verify(nid, mult, [s for g in groups for s in g[2]], len(groups[0][0]) if len(groups) > 1 else 0)])
+
+
+def _links_of_members(docs: DataFrame, nodes: DataFrame, groups: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """((nid, links), (nid, label)) of the nodes in candidate components: exact links and classes."""
+    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    member = groups.withColumnRenamed("id", "nid").join(sizes, "label").join(nodes.select("nid", "sid", "size", "one", "mult"), "nid")
+    member = materialize(member, "members")
+    n = member.count()
+    # one row of the table for each node, found by its id and the hash of its text
+    wanted = member.select(F.col("one.doc_id").alias("_i"), F.col("one.text_hash").alias("_h"))
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    texts = texts.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h")))
+    weight = materialize(member.groupBy("label").agg(F.sum(F.col("size").cast("long") * 8).alias("bytes")), "weights")
+    held = _sets(texts).dropDuplicates(["sid"]).join(member.select("sid", "nid", "label", "m", "mult"), "sid").join(sized(weight), "label")
+    count = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    held = held.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks").cast("long")).cast("int"))
+    held = held.select("label", "block", "blocks", "nid", "mult", "shingles").repartition("label", "block").sortWithinPartitions("label", "block")
+    first = materialize(held.mapInArrow(_verify_or_pack, _FOUND), "verified")
+    whole, packed = first.where("blob is null").select("nid", "root", "links"), first.where("blob is not null").select("label", "block", "blob")
+    count = materialize(packed.groupBy("label").agg((F.max("block") + 1).alias("n")), "blocks")
+    many = count.count()
+    if not many:
+        return whole.select("nid", "links"), whole.select("nid", F.col("root").alias("label"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    pairs = packed.join(sized(count, many), "label").withColumn("other", other)
+    pairs = pairs.select("label", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "blob")
+    pairs = pairs.repartition("label", "one", "two").sortWithinPartitions("label", "one", "two")
+    second = materialize(pairs.mapInArrow(_verify_blocks, _FOUND).select("nid", "root", "links"), "verified")
+    classes = components(second.select(F.col("nid").alias("u"), F.col("root").alias("v")))
+    links = whole.select("nid", "links").unionByName(second.groupBy("nid").agg(F.sum("links").alias("links")))
+    return links, whole.select("nid", F.col("root").alias("label")).unionByName(classes.withColumnRenamed("id", "nid"))
 
 
 def links(docs: DataFrame, runs: int | None = None, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
@@ -259,33 +374,21 @@ def links(docs: DataFrame, runs: int | None = None, small: int = SMALL, depth: i
     ``n_links`` counts the other rows at similarity 0.8 or more, copies included; ``class_id`` is the
     smallest doc_id that links of any length lead to.
     """
-    width = shuffle_width(docs.sparkSession)
     runs = runs or runs_for(RECALL, SIMILARITY)
     rows = materialize(_features(docs), "features")
-    nodes = rows.where("size > 0").groupBy("sid").agg(
-        F.count(F.lit(1)).alias("mult"), F.min("doc_id").alias("rep"), F.first("size").alias("size"),
-        F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"),
-    )
-    nodes = materialize(nodes, "nodes")
-    groups = materialize(components(_candidate_edges(nodes, runs, small, depth, width)), "groups")
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("_m"))
-    member = groups.withColumnRenamed("id", "sid").join(sizes, "label").join(nodes.select("sid", "rep", "mult"), "sid")
-    member = materialize(member, "members")
-    texts = docs.select("doc_id", "text").join(member.select("rep").distinct(), F.col("doc_id") == F.col("rep"))
-    # rows that repeat an id may hold other texts: the set's own id decides
-    held = _sets(texts).dropDuplicates(["sid"]).join(member, "sid")
-    count = F.ceil(F.col("_m") / block).cast("int")
-    split = held.withColumn("_n", count).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("_n").cast("long")).cast("int"))
-    split = split.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    grp = F.xxhash64("label", F.least("block", "_o"), F.greatest("block", "_o"))
-    cross = (F.col("_o") != F.col("block")).alias("cross")
-    split = split.select(grp.alias("grp"), cross, "sid", "mult", "block", "shingles").withColumn("part", F.pmod("grp", F.lit(8 * width)))
-    exact = materialize(split.groupBy("part").applyInPandas(_verify, "sid string, label string, links bigint"), "links")
-    classes = components(exact.select(F.col("sid").alias("u"), F.col("label").alias("v")))
-    per_node = nodes.select("sid", "rep", "mult").join(exact.groupBy("sid").agg(F.sum("links").alias("links")), "sid", "left")
-    per_node = per_node.join(classes.withColumnRenamed("id", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    per_class = per_node.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("mult").alias("class_size"))
-    known = per_node.join(per_class, "label").select("sid", "class_id", "class_size", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
+    nodes = rows.where("size > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("mult"), one, *(F.first(c).alias(c) for c in ("size", "tokens", *_SKETCH)))
+    nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    edges = materialize(_candidate_edges(nodes, runs, small, depth), "edges")
+    groups = materialize(components(edges), "groups")
+    release(edges)
+    found, classes = _links_of_members(docs, nodes, groups, block)
+    release(groups)
+    known = nodes.select("sid", "nid", "one.doc_id", "mult").join(found, "nid", "left").join(classes, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    known = materialize(known.withColumnRenamed("doc_id", "rep"), "known")
+    per_class = materialize(known.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("mult").alias("class_size")), "classes")
+    known = materialize(known.join(per_class, "label").select("sid", "class_id", "class_size", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "known")
+    release(nodes, per_class)
     found = rows.select("doc_id", "sid").join(known, "sid", "left")
     alone = F.col("n_links").isNull()
     return found.select(
@@ -296,8 +399,12 @@ def links(docs: DataFrame, runs: int | None = None, small: int = SMALL, depth: i
     )
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each class, the one of the smallest id; rows with a null id stay."""
-    stay = links(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    """The rows whose id is their class's smallest; rows with a null id stay, whatever their class."""
+    found = materialize(links(docs, **options), "links")
+    id_ = fresh(docs, "_id")[0]
+    gone = found.where("doc_id is not null and doc_id != class_id").select(F.col("doc_id").alias(id_)).distinct()
+    stay = found.where("doc_id = class_id").select(F.col("doc_id").alias(id_)).distinct()
+    # an id that repeats with different texts stays if one of its rows is its class's
+    gone = materialize(gone.join(stay, id_, "left_anti"), "gone")
+    return docs.join(sized(gone), docs["doc_id"] == gone[id_], "left_anti")
