@@ -8,10 +8,11 @@ source of any size spreads over ``buckets`` ranges; prefix sums are taken inside
 by the totals of the ranges before it.  Whole epochs come first, then the rows below the cut; the row
 on the cut is taken up to the exact word.
 
-Cases: a null or empty text has size 0 and is never taken; a null source is a source and sorts last;
-rows that repeat an id are told apart by the text's hash, and rows that repeat both share their part
-of the range in any order (they are equal, so the result is too); null ids sort first; with no words
-at all every target is 0; an empty table gives an empty result; other columns pass through ``mix``.
+Cases: a null or empty text has size 0 and is never taken; a very long text is one row, cut at the
+exact word if it lies on the cut; a null source is a source and sorts last; rows that repeat an id are
+told apart by the text's hash, and rows that repeat both share their part of the range in any order
+(they are equal, so the result is too); null ids sort first; with no words at all every target is 0;
+an empty table gives an empty result; other columns pass through ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import NOT_WS, WS, shuffle_width, whole_text
+from corvane.llm.common import NOT_WS, WS, fresh, shuffle_width, sized, whole_text
 from corvane.plans.scratch import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -102,18 +103,19 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: each row of ``docs`` as often as the mix takes it, the row on a cut shortened."""
+    id_, hash_, source_, copies, cuts, n, own, part = fresh(docs, "_id", "_h", "_s", "_copies", "_cuts", "_n", "_own", "_part")
     plan = mix_plan(docs, **options).where("taken > 0")
-    plays = plan.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("source").alias("_s")).agg(
-        F.sum("copies").alias("copies"), F.collect_list(F.when(F.col("cut_words") > 0, F.col("cut_words"))).alias("cuts"), F.count(F.lit(1)).alias("_n")
+    plays = plan.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("source").alias(source_)).agg(
+        F.sum("copies").alias(copies), F.collect_list(F.when(F.col("cut_words") > 0, F.col("cut_words"))).alias(cuts), F.count(F.lit(1)).alias(n)
     )
     plays = materialize(plays, "plays")
-    keyed = docs.withColumn("_text_hash", F.xxhash64(whole_text()))
-    if not plays.where("_n > 1").isEmpty():
+    keyed = docs.withColumn(own, F.xxhash64(whole_text()))
+    if not plays.where(F.col(n) > 1).isEmpty():
         # rows that repeat an id, a text and a source are played from one of them
-        keyed = keyed.dropDuplicates(["doc_id", "source", "_text_hash"])
-    taken = keyed.join(
-        plays, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_text_hash") == F.col("_h"))
-    )
-    parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("copies").cast("int")), F.col("cuts"))
-    text = F.when(F.col("_part") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col("_part").cast("int")))
-    return taken.withColumn("_part", F.explode(parts)).withColumn("text", text).select(*docs.columns)
+        keyed = keyed.dropDuplicates(["doc_id", "source", own])
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source_)) & (F.col(own) == F.col(hash_))
+    played = keyed.join(sized(plays), same)
+    parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col(copies).cast("int")), F.col(cuts))
+    played = played.withColumn(part, F.explode(parts))
+    text = F.when(F.col(part) < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col(part).cast("int")))
+    return played.withColumn("text", text).drop(id_, hash_, source_, copies, cuts, n, own, part)
