@@ -2,14 +2,18 @@
 
 Features of a text are the distinct hashed single words, word pairs and pairs with one word between
 (lower case).  Training is FTRL-proximal with per-coordinate rates and L1, on at most ``TRAIN_ROWS``
-labelled rows, picked by a hash of their id; the bound is a parameter and the rest of the data is
-scored, never sampled.  L1 leaves few weights, so the model is a sparse vector of at most 2**BITS
-entries, small enough to ship to every task.  Scoring is one narrow pass.
-
-Cases: a null or empty text is scored by the bias alone; rows without an id or label are not used for
-training; several labels of one id count as toxic if one does; with no usable label at all every
-score is 0.0; an empty table gives an empty result; labels, lang, source and id are never inputs of a
-score.
+labelled rows and ``TRAIN_FEATURES`` of their features, picked in the order of a hash of their id; both
+bounds are parameters, they bound what reaches the driver, and the rest of the data is scored, never
+sampled.  L1 leaves few weights, so the model is a sparse vector of at most 2**BITS entries, small
+enough to ship to every task.  Scoring is one narrow pass.
+
+Cases: a null or empty text is scored by the bias alone; a very long text is read whole and has at most
+2**BITS features (one that is over the bound alone is not trained on, but scored); rows without an id
+or label are not used for training; several labels of one id count as toxic if one does; of several
+texts of one id the one of the smallest hash is learnt; with no usable label at all every score is 0.0;
+an empty table gives an empty result; labels, lang, source and id are never inputs of a score; other
+columns pass through ``clean`` with their values, and through ``score`` unless they are named like its
+two results in any case.
 """
 
 from __future__ import annotations
@@ -22,11 +26,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
+
+from corvane.llm.common import fresh, whole_text
+from corvane.plans.scratch import materialize, release
 
 BITS = 18
 TRAIN_ROWS = 12_000
+#: Features, over all rows learnt from, that are sent to the driver at most (four bytes each).
+TRAIN_FEATURES = 32_000_000
 EPOCHS = 6
 THRESHOLD = 0.3
 #: Words remembered by a worker at most.
@@ -110,49 +120,57 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS, train_features: int = TRAIN_FEATURES) -> Model | None:
     """The model of at most ``train_rows`` labelled rows that aren't held out; None without labels."""
     usable = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
-    picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    picked = picked.select(F.col("doc_id").alias("_id"), "_y")
+    picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    picked = picked.select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py() or "", bits).astype(np.int32) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(found, pa.list_(pa.int32()))], names=["_id", "_y", "f"])
+            found = [features(t.as_py(), bits).astype(np.int32) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("h"), pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "h", "f"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # the ids are at most train_rows, so their side may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", F.col("_y").cast("int").alias("_y"), "text")
-    table = rows.mapInArrow(run, f"_id {kind}, _y int, f array<int>").dropDuplicates(["_id"]).toArrow()
-    table = table.sort_by("_id")
-    if not table.num_rows:
+    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("id"))
+    table = rows.select("id", "y", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"id {kind}, y int, h bigint, f array<int>")
+    table = materialize(table.groupBy("id", "y").agg(F.min_by("f", "h").alias("f")), "train")
+    # at most train_rows slim rows stand in the window
+    upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = table.select("id", F.sum(F.size("f").cast("long")).over(upto).alias("n")).where(F.col("n") <= train_features).select("id")
+    rows = table.join(F.broadcast(within), "id").toArrow().sort_by("id")
+    release(table)
+    if not rows.num_rows:
         return None
-    return train([(f.values.to_numpy(), int(y.as_py() > 0)) for f, y in zip(table["f"], table["_y"])], bits)
+    return train([(f.values.to_numpy(), int(y.as_py() > 0)) for f, y in zip(rows["f"], rows["y"])], bits)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the columns ``score`` and ``predicted`` added (replacing any of these names)."""
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    return _scored(docs.select(*(docs[f"`{c}`"] for c in keep)), model, threshold, "score", "predicted")
+
+
+def _scored(docs: DataFrame, model: Model | None, threshold: float, score_name: str, predicted_name: str) -> DataFrame:
     if model is None:
-        return docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.withColumn(score_name, F.lit(0.0)).withColumn(predicted_name, F.lit(0))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    dense: list[np.ndarray] = []
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        dense.append(own.dense())
+        dense = own.dense()
         for batch in batches:
-            s = [own.score(dense[-1], features(t.as_py() or "", own.bits)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s, pa.float64())], names=[*keep, "score"])
-
-    from pyspark.sql.types import DoubleType, StructType
+            s = [own.score(dense, features(t.as_py() or "", own.bits)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*names, score_name])
 
-    schema = StructType([docs.schema[c] for c in keep]).add("score", DoubleType())
-    scored = docs.select(*keep).mapInArrow(run, schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = docs.mapInArrow(run, StructType([*docs.schema.fields]).add(score_name, DoubleType()))
+    return scored.withColumn(predicted_name, (F.col(score_name) >= threshold).cast("int"))
 
 
-def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic."""
-    return score(docs, fit(docs, labels)).where("predicted = 0").select(*docs.columns)
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the model does not call toxic, with all their columns."""
+    score_name, predicted_name = fresh(docs, "_score", "_predicted")
+    scored = _scored(docs, fit(docs, labels), threshold, score_name, predicted_name)
+    return scored.where(F.col(predicted_name) == 0).drop(score_name, predicted_name)

@@ -94,3 +94,31 @@ def targets(sizes: dict, weights=(5, 2, 1), most: int = 3) -> dict:
         if not more:
             return out
         full |= more
+
+
+def ftrl(rows: list[tuple[list[int], int]], epochs: int, alpha=0.5, beta=1.0, l1=4.0, l2=0.1) -> tuple[float, dict[int, float]]:
+    """FTRL-proximal, coordinate by coordinate; the bias is the coordinate None, without L1."""
+    import math
+    import numpy as np
+
+    z: dict = {}
+    n: dict = {}
+
+    def weight(i) -> float:
+        zi, bound = z.get(i, 0.0), 0.0 if i is None else l1
+        if abs(zi) <= bound:
+            return 0.0
+        return -(zi - math.copysign(bound, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            features, y = rows[k]
+            w = {i: weight(i) for i in [*features, None]}
+            p = 1 / (1 + math.exp(-sum(w.values())))
+            g = p - y
+            for i in w:
+                old = n.get(i, 0.0)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(old)) / alpha * w[i]
+    return weight(None), {i: w for i in z if i is not None and (w := weight(i))}
