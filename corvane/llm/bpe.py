@@ -7,25 +7,27 @@
 2. ``_encode``: a bucket holds all occurrences of its words in any chunk; each distinct word of the
    corpus falls in one bucket and is encoded there once.  A chunk lists a word once, so no word is
    hot: a bucket's size is its share of (chunk, distinct word) pairs.
-3. ``_assemble``: the ids come back to their chunk, are joined to the word positions, and decoded
-   through a join of id to piece, the piece table being bounded by the vocabulary.
-
-Cases: a null or empty text has no ids and decodes to an empty text; special strings become their
-special ids; null ids and repeated rows pass through; an empty table gives an empty result; other
-columns are not read.
+3. ``_assemble``: the ids come back to their chunk; the ids of its distinct words are joined to the
+   table (id, piece), which the vocabulary bounds, and the pieces give each word's text; ids and texts
+   are then joined to the word positions.  ``decode`` does the same for documents of ids.
+
+Cases: a null or empty text has no ids and decodes to an empty text; very long texts are whole, one
+chunk at least each, and a word may have any number of ids; ids of any size are packed; special strings
+become their special ids; null ids and repeated rows pass through; an empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,6 +41,8 @@ from corvane.plans.scratch import materialize
 CHUNK_CHARS = 16_000_000
 #: Characters decoded, or ids where no text is built, in one batch of results, one document at most over.
 SLICE = 2_000_000
+#: Ids joined to their pieces at a time, one text at least.
+READ_IDS = 1 << 22
 #: Numbers or bytes turned into varints and back at a time; their temporaries are twenty times as large.
 _BLOCK = 1 << 18
 _PARTS = "kind int, chunk long, bucket int, blob binary"
@@ -83,13 +87,13 @@ def _unvarint_block(raw: np.ndarray) -> np.ndarray:
     return np.add.reduceat(parts, first).astype(np.uint32)
 
 
-def _halves(a: np.ndarray) -> tuple[bytes, bytes]:
-    """Low and high bytes of numbers below 65,536, apart: the high ones compress away."""
-    return (a & 255).astype(np.uint8).tobytes(), (a >> 8).astype(np.uint8).tobytes()
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers byte by byte, lowest bytes first: the planes of high bytes compress away."""
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _unhalves(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, np.uint8).astype(np.uint32) | np.frombuffer(high, np.uint8).astype(np.uint32) << np.uint32(8)
+def _unplanes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _bucket(word: str, buckets: int) -> int:
@@ -147,10 +151,7 @@ def _encode(vocab_path: str):
         blobs = []
         for words in lists:
             found = [ids[w] for w in words]
-            flat = np.concatenate(found)
-            if flat.max() >> 16:
-                raise ValueError("ids of 65,536 and more are not packed")
-            blobs.append(_pack((np.array([len(f) for f in found], np.uint16), *_halves(flat))))
+            blobs.append(_pack((_planes(np.array([len(f) for f in found])), _planes(np.concatenate(found)))))
         return pd.DataFrame({"kind": 1, "chunk": part.chunk, "bucket": part.bucket, "blob": blobs})
 
     return run
@@ -160,17 +161,17 @@ def _assemble(vocab_path: str, digest: bool, decoded: bool):
     names = ["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"][: 1 + decoded]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = splitter(vocab_path).pieces
+        pieces = _piece_table(vocab_path)
         part = pd.concat(list(batches), ignore_index=True)
         doc_ids, sizes, numbers_of, of_rank = _unpack(part.blob[part.kind == 0].iloc[0])
         n = len(of_rank)
         count, lists = np.zeros(n, np.int64), []
         for bucket, blob in zip(part.bucket, part.blob):
             if bucket >= 0:
-                lens, low, high = _unpack(blob)
+                lens, ids = map(_unplanes, _unpack(blob))
                 own = np.flatnonzero(of_rank == bucket)
                 count[own] = lens
-                lists.append((own, _unhalves(low, high)))
+                lists.append((own, ids))
         # ids of all words side by side, in the order of their numbers
         start = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64) if n else count
         flat = np.zeros(int(count.sum()), np.int32)
@@ -179,8 +180,7 @@ def _assemble(vocab_path: str, digest: bool, decoded: bool):
         del lists, part
         ends = start + count
         shown = [" ".join(map(str, flat[a:b].tolist())) for a, b in zip(start, ends)] if digest else []
-        # the join of id to piece
-        read = [" ".join([pieces[i] for i in flat[a:b].tolist()]) for a, b in zip(start, ends)] if digest or decoded else []
+        read = _read(flat, np.append(start, len(flat)), pieces) if digest or decoded else []
         textual = any(isinstance(x, str) for x in doc_ids)
 
         def frame(out: list[list]) -> pd.DataFrame:
@@ -235,18 +235,38 @@ def encode(docs: DataFrame, vocab_path: str, digest: bool = False, decoded: bool
     return both.groupBy("chunk").applyInPandas(_assemble(vocab_path, digest, decoded), f"doc_id {kind}, n_tokens long, {out}")
 
 
-def piece_table(docs_session, vocab_path: str) -> DataFrame:
+def _piece_table(vocab_path: str) -> pa.Table:
     """(id, piece), bounded by the vocabulary."""
-    return docs_session.createDataFrame(list(enumerate(splitter(vocab_path).pieces)), "id int, piece string")
+    pieces = splitter(vocab_path).pieces
+    return pa.table({"id": pa.array(range(len(pieces)), pa.int32()), "piece": pa.array(pieces, pa.string())})
+
+
+def _read(ids: np.ndarray, bounds: np.ndarray, pieces: pa.Table) -> list[str]:
+    """The texts of runs of ids: a join of id to piece, in the order of the ids, pieces joined by one space."""
+    out: list[str] = []
+    first = 0
+    while first < len(bounds) - 1:
+        # some runs at a time, one at least
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + READ_IDS, "right")) - 1)
+        a, b = int(bounds[first]), int(bounds[last])
+        tokens = pa.table({"id": pa.array(ids[a:b], pa.int32()), "at": pa.array(np.arange(b - a), pa.int32())})
+        joined = tokens.join(pieces, "id", join_type="left outer", use_threads=False).sort_by("at")["piece"]
+        found = pa.concat_arrays(joined.chunks) if joined.num_chunks else pa.array([], pa.string())
+        out += pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds[first : last + 1] - a, pa.int32()), found), " ").to_pylist()
+        first = last
+    return out
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
-    """(doc_id, decoded) from (doc_id, ids), pieces joined by one space.
+    """(doc_id, decoded) from (doc_id, ids), pieces joined by one space; null ids decode to an empty text."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
 
-    ``transform`` over a map literal keeps a document's ids together: ids meet the bounded piece
-    table where they are, in order, without shuffling a row for each token.
-    """
-    pieces = piece_table(encoded.sparkSession, vocab_path)
-    table = F.broadcast(pieces.agg(F.map_from_entries(F.collect_list(F.struct("id", "piece"))).alias("_m")))
-    joined = F.array_join(F.transform(F.coalesce("ids", F.array().cast("array<int>")), lambda i: F.col("_m")[i]), " ")
-    return encoded.join(table).select("doc_id", joined.alias("decoded"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _piece_table(vocab_path)
+        for batch in batches:
+            lists = batch.column("ids")
+            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+            texts = _read(lists.flatten().to_numpy(), bounds, pieces)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded string")
