@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and works on what its predecessor kept.  ``run`` applies the
 stages to the whole documents table, each result written as a shared table and read again by the next
 stage.
+
+Cases, beside those of the operators: null and empty texts pass toxicity (they are scored by the bias),
+are copies of each other in exact dedup, have no near copies, and are never taken by the mix, as they
+have no words; rows with a null id pass the first three stages unless they are copies of another row
+and may be mixed like others; rows that repeat an id and a text are one document from exact dedup on,
+while a document that the mix takes several times is a row for each; very long texts are whole, but
+for the one on a source's cut; columns beside doc_id, text and source keep their values whatever their
+names, and all but doc_id end with the last stage; an empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -32,7 +40,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; ``n_chars`` follows a document that the budget cuts."""
-    return mixing.mix(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    mixed = mixing.mix(docs)
+    if "n_chars" not in docs.columns:
+        return mixed
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
