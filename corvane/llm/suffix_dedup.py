@@ -14,16 +14,17 @@ the index holds at most log2(batches) levels and every entry is rewritten as oft
 Reported keys are then decided exactly.  Entries are counted by (key, context) with map-side partial
 sums: a context that occurs twice repeats as a whole, however often.  Different contexts of one key
 are compared window by window, each window's hash being counted over the contexts; no pairs are
-formed.  Keys with at most ``GROUP_LIMIT`` different contexts are counted in memory, many keys a
-task; beyond it the window hashes are counted by distributed aggregation instead.
+formed.  Keys with at most ``GROUP_LIMIT`` different contexts are counted in memory, one key after the
+other; beyond it the window hashes are counted by distributed aggregation, with the same result.
 
 Texts are packed into compressed chunks once and only these are moved.
 
 Hashes have 64 bits within a key of 64 bits (together 128).
 
-Cases: a null text is empty; texts shorter than ``LENGTH`` lose nothing; repeated rows are rows of
-their own and remove each other; a string that overlaps its own repetition counts; null ids stay; an
-empty table gives an empty result; other columns are not read.
+Cases: a null text is empty; texts shorter than ``LENGTH`` lose nothing; very long texts are whole, one
+chunk each, and take part in their own comparison; repeated rows are rows of their own and remove each
+other; a string that overlaps its own repetition counts; null ids stay; an empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import shuffle_width
+from corvane.llm.common import whole_groups
 from corvane.plans.scratch import materialize, release
 
 LENGTH = 200
@@ -49,9 +50,13 @@ GRAM = 40
 BATCHES = 4
 #: Different contexts of a key that one task may hold; beyond it they are counted by distributed aggregation.
 GROUP_LIMIT = 60_000
+#: Contexts of several keys that are compared at once.
+HELD = 20_000
 #: Bytes of text whose windows are held at once, one document at least.
 BLOCK_BYTES = 2 << 20
-_PLACE_BITS = 28
+#: Windows whose anchors are looked for at once, and bits that number the bytes of their text.
+SEGMENT = 2 << 20
+_PLACE_BITS = 22
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -90,18 +95,27 @@ def _window_min(a: np.ndarray, width: int) -> np.ndarray:
 def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document number, anchor place, first and last window start) over documents that lie in ``data``.
 
-    Runs of neighbouring windows of one document that share their anchor form one entry.
+    Runs of neighbouring windows of one document that share their anchor form one entry.  A window's
+    anchor depends on its bytes alone, so texts of any length are taken a segment at a time; a run that
+    a segment cuts becomes two entries.
     """
+    parts = [_segment_anchors(data, starts, ends, at) for at in range(0, max(len(data) - LENGTH + 1, 0), SEGMENT)]
+    if not parts:
+        return (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _segment_anchors(data: bytes, starts: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
-        return none, none, none, none
-    places = np.arange(len(data) - GRAM + 1, dtype=np.uint64)
+    piece = np.frombuffer(data, np.uint8)[base : base + SEGMENT + LENGTH - 1]
+    places = np.arange(len(piece) - GRAM + 1, dtype=np.uint64)
     low = np.uint64((1 << _PLACE_BITS) - 1)
-    ranked = (_gram_hashes(np.frombuffer(data, np.uint8)) & ~low) | places
+    ranked = (_gram_hashes(piece) & ~low) | places
     low_most = _window_min(ranked, LENGTH - GRAM + 1)
-    at = (low_most & low).astype(np.int64)  # of each window start
-    doc = np.repeat(np.arange(len(starts)), ends - starts)[: len(at)]
-    good = np.arange(len(at)) + LENGTH <= ends[doc]
+    at = (low_most & low).astype(np.int64) + base  # of each window start
+    window = np.arange(len(at)) + base
+    doc = np.searchsorted(ends, window, "right")
+    good = window + LENGTH <= ends[np.minimum(doc, len(ends) - 1)]
     w = np.flatnonzero(good)
     if not len(w):
         return none, none, none, none
@@ -109,7 +123,7 @@ def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (w[1:] != w[:-1] + 1)])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(w)) - 1
-    return d[first], a[first], w[first], w[last]
+    return d[first], a[first], w[first] + base, w[last] + base
 
 
 def _signed(x: int) -> int:
@@ -156,10 +170,6 @@ def pack_texts(docs: DataFrame, batches: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _CHUNK)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 #: row: chunk and number in it.  place: anchor, bytes before and after it that its windows cover.
 _ENTRY = "key bigint, ctx bigint, row bigint, place bigint"
 
@@ -243,6 +253,18 @@ def _contexts(part: pd.DataFrame) -> pd.DataFrame:
 _SPAN = "chunk bigint, row bigint, start bigint, end bigint"
 
 
+def _shared_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the contexts in rows sorted by key; some keys are held at a time, one at least."""
+    for table, cuts in whole_groups(batches, "key"):
+        first = 0
+        while first < len(cuts) - 1:
+            last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + HELD, "right")) - 1)
+            found = _common_windows(table.slice(int(cuts[first]), int(cuts[last] - cuts[first])).to_pandas())
+            if len(found):
+                yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+            first = last
+
+
 def _common_windows(part: pd.DataFrame) -> pd.DataFrame:
     """Spans of single contexts that another context of their key holds too.
 
@@ -347,8 +369,6 @@ def _with_chunks(chunks: DataFrame, rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, group_limit: int = GROUP_LIMIT, digest: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; ``digest`` gives kept_sha256 for kept."""
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
     chunks = materialize(pack_texts(docs, batches), "texts", partition_by="batch").select("batch", "chunk", "blob")
     index = SuffixIndex()
     for b in range(batches):
@@ -379,8 +399,8 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, group_limit: int = G
         spans = spans.unionByName(
             shared.select(F.shiftright("row", _ROW_BITS).alias("chunk"), "row", (F.col("at") - F.col("dist")).alias("start"), (F.col("at") - F.col("dist") + LENGTH).alias("end"))
         )
-    part = F.pmod("key", F.lit(8 * width)).alias("part")
-    spans = spans.unionByName(cold.withColumn("part", part).groupBy("part").applyInPandas(_common_windows, _SPAN))
+    cold = cold.repartition("key").sortWithinPartitions("key")
+    spans = spans.unionByName(cold.mapInArrow(_shared_spans, _SPAN))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = _RESULT if digest else _RESULT.replace("kept_sha256 string", "kept binary")
     return _with_chunks(chunks, spans).groupBy("chunk").applyInPandas(_cut(digest), f"doc_id {kind}, {out}")
