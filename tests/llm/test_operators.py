@@ -178,6 +178,17 @@ def test_suffix_dedup_random(spark):
             assert got[i] == (sum(g), bytes(c for c, x in zip(texts[i].encode(), g) if not x))
 
 
+def test_anchors_in_small_segments(monkeypatch):
+    texts = [(r[1] or "").encode() for r in ROWS]
+    data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+    covered = []
+    for size in (suffix_dedup.SEGMENT, 97):
+        monkeypatch.setattr(suffix_dedup, "SEGMENT", size)
+        d, a, w0, w1 = suffix_dedup.anchors(data, ends - [len(t) for t in texts], ends)
+        covered.append({(w, x, k) for k, x, i, j in zip(d.tolist(), a.tolist(), w0.tolist(), w1.tolist()) for w in range(i, j + 1)})
+    assert covered[0] == covered[1] and len(covered[0]) == sum(max(0, len(t) - 199) for t in texts)
+
+
 def test_media(docs):
     found = media.media_columns(docs, with_media=True)
     for i, (n, size, sha, tail, feature, file) in by_id(found, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "media").items():

@@ -6,7 +6,7 @@ from collections import Counter
 import brute
 import corpus_pipeline
 import pytest
-from corvane.llm import registry, toxicity
+from corvane.llm import exact_dedup, registry, toxicity
 from corvane.plans.scratch import materialize
 from tokenizers import Tokenizer
 
@@ -83,3 +83,19 @@ def test_bpe_decodes(stages):
     want = sorted(lib.decode(lib.encode(r["text"], add_special_tokens=False).ids, skip_special_tokens=False) for r in rows(before))
     assert sorted(r["decoded"] for r in rows(after)) == want
     assert all(r["decoded"] == lib.decode(r["ids"], skip_special_tokens=False) for r in rows(after))
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql(spark, name):
+    """The rows of an independent engine, on odd texts and on the smallest table."""
+    import duckdb
+    import test_operators
+
+    con = duckdb.connect()
+    odd = spark.createDataFrame(test_operators.ROWS, test_operators.SCHEMA)
+    con.register("odd", odd.select("doc_id", "text").toArrow())
+    key = lambda rows: sorted(str(tuple(r)) for r in rows)
+    for table, docs in (("odd", odd), (f"read_parquet('{SF}/documents.parquet')", spark.read.parquet(f"{SF}/documents.parquet"))):
+        con.execute(f"create or replace view documents as select * from {table}")
+        got = {"op7_secrets": registry.scan_secrets, "op9_exact": exact_dedup.classes}[name](docs)
+        assert key(got.collect()) == key(con.execute(f"select {', '.join(got.columns)} from ({registry.oracle_sql()[name]})").fetchall())
