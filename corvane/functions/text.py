@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Typographic marks and the ASCII marks that stand for them.
-CURLY = "‘’“”–—− "
-PLAIN = "''\"\"--- "
+CURLY = "\ufffd’‘“”–—−\u00a0"
+PLAIN = " ''\"\"--- "
 
 
 def normalise_for_tokens(c: Column) -> Column:
@@ -16,8 +19,23 @@ def normalise_for_tokens(c: Column) -> Column:
 
 
 def ascii_marks(c: Column) -> Column:
-    """Curly quotes, dashes and hard spaces as ASCII; other control characters as a space."""
-    return F.regexp_replace(F.translate(c, CURLY, PLAIN), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
+    """Curly quotes, dashes and hard spaces as ASCII; every sign that does not print as a space."""
+    return F.regexp_replace(F.translate(c, CURLY, PLAIN), r"[\p{C}\p{Z}]", " ")
+
+
+def paragraphs(c: Column) -> Column:
+    """The runs of a text between white space."""
+    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+
+def normalised_key(c: Column) -> Column:
+    """Compatibility form, folded case, single blanks: what two spellings of a name have in common."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+
+    return run(c)
 
 
 def clean_text(c: Column) -> Column:

@@ -23,15 +23,27 @@ STOPWORDS = tuple(
 )
 #: Token classes, RE2-safe so that an independent engine can check them.
 FLAGS = {
-    "numeric": r"^[-+]?[0-9][0-9,]*(\.[0-9]+)?$",
+    "numeric": r"^[-+]?[0-9][0-9,]*(?:\.[0-9]+)?$",
     "has_digit": r"[0-9]",
-    "currency": r"^(₹|US\$|Rs\.?|INR|USD|\$|€|EUR|GBP|£)",
-    "percent": r"^[+-]?[0-9][0-9,]*(\.[0-9]+)?\s*(%|per\s+cent|percent|pct\.?)$",
-    "abbreviation": r"^([A-Z]{2,6}|([A-Za-z]\.){2,}[A-Za-z]{1,6})$",
+    "currency": r"^(?:₹|US\$|US\s*\$|Rs\.?|rs\.?|INR|inr|USD|usd|\$|€|EUR|eur|GBP|gbp|£)",
+    "percentage": r"(?i)^(?:[+-]?[0-9][0-9,]*(?:\.[0-9]+)?\s*(?:%|per\s+cent|percent|pct\.?))$",
+    "abbreviation": r"^(?:[A-Z]{2,6}|(?:[A-Za-z]\.){2,}[A-Za-z]{1,6}|[A-Za-z]{1,6}\.(?:[A-Za-z]\.)+)$",
     "hyphenated": r"[-/]",
-    "fiscal_year": r"^(FY\s*[0-9]{2,4}|[0-9]{4}\s*[-/]\s*[0-9]{2,4})$",
-    "year": r"^(19|20)[0-9]{2}$",
+    "date": (
+        r"(?i)^(?:[0-9]{1,2}\s+(?:of\s+)?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?,?\s*[0-9]{0,4}"
+        r"|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?,?\s*[0-9]{0,4}"
+        r"|fy\s*[0-9]{2,4}(?:\s*[-/]\s*[0-9]{2,4})?|[0-9]{4}\s*[-/]\s*[0-9]{2,4}|q[1-4]\s*(?:fy\s*[0-9]{2,4}|[0-9]{2,4})?"
+        r"|(?:19|20)[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})$"
+    ),
+    "fiscal_year": r"(?i)^(?:fy\s*[0-9]{2,4}(?:\s*[-/]\s*[0-9]{2,4})?|[0-9]{4}\s*[-/]\s*[0-9]{2,4})$",
 }
+#: Fixed value: the lexicon of special tokens.
+SPECIAL = tuple(
+    "gdp gva cpi wpi fdi fpi rbi sebi imf wto npa repo repo-rate reverse-repo msf crr slr g-sec gsec lakh crore billion trillion million "
+    "per cent fiscal monetary inflation deflation disinflation budget niti gst esop emi npa-ratio twrs dpi plfs nre capex g-secs".split()
+)
+#: The classes of a token, as counted for every tokenizer.
+CLASSES = ("numeric", "date", "fiscal_year", "percentage", "currency", "abbreviation", "hyphenated", "special")
 
 
 def tokenize(c: Column, pattern: str = WORDS, lower: bool = True) -> Column:
@@ -39,8 +51,8 @@ def tokenize(c: Column, pattern: str = WORDS, lower: bool = True) -> Column:
 
 
 def is_indexable(c: Column) -> Column:
-    """Has a letter, or is a number with a separator, percentage or a year."""
-    return c.rlike(r"\p{L}") | c.rlike(r"^[0-9]+([.,][0-9]+)+$|%|^(19|20)[0-9]{2}$")
+    """Has a letter (or another word sign that is no digit), starts with a digit, or is a percent sign with digits."""
+    return c.rlike(r"[\p{L}\p{Nl}\p{No}]") | c.rlike(r"^\p{Nd}") | (c.rlike("^%") & c.rlike(r"\p{Nd}"))
 
 
 def drop_stopwords(tokens: Column, words: tuple[str, ...] = STOPWORDS) -> Column:
@@ -54,5 +66,16 @@ def ngrams(tokens: Column, n: int, joiner: str = " ") -> Column:
     return F.when(F.size(tokens) >= n, runs).otherwise(none)
 
 
-def flag(c: Column, name: str) -> Column:
-    return c.rlike(FLAGS[name])
+def classes(c: Column) -> dict[str, Column]:
+    """The class flags of one token."""
+    own = {n: c.rlike(p) for n, p in FLAGS.items()}
+    return {
+        "numeric": own["numeric"] | (own["has_digit"] & ~own["date"]),
+        "date": own["date"],
+        "fiscal_year": own["fiscal_year"],
+        "percentage": own["percentage"] | (F.trim(c) == "%"),
+        "currency": own["currency"],
+        "abbreviation": own["abbreviation"],
+        "hyphenated": own["hyphenated"] & c.rlike(r"\p{L}"),
+        "special": F.lower(c).isin(*SPECIAL),
+    }

@@ -1,8 +1,14 @@
-"""Typed expressions and the domain tokenizer, as pure functions over one text."""
+"""Typed expressions and the domain tokenizer: pure functions over one text, the tokenizer also as a Column."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from corvane.functions.text import ascii_marks
 
 #: Building blocks of the patterns.
 MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
@@ -46,38 +52,90 @@ def expressions(text: str) -> list[tuple[str, str, int, int]]:
     return sorted(out, key=lambda x: x[2])
 
 
-#: Alternatives of the domain tokenizer in order of priority.
+#: Rules of the domain tokenizer, (rule, priority, pattern); the higher priority is tried first.
 RULES = (
-    ("R01", rf"\b\d{{1,3}}(?:,\d{{2,3}})+(?:\.\d+)?\s*{SCALE}\b"),
-    ("R02", rf"{CURRENCY}\s*{NUMBER}(?:\s*{SCALE}\b)?"),
-    ("R03", rf"\b{NUMBER}\s*{SCALE}\b"),
-    ("R04", rf"\b{NUMBER}\s*(?:per\s+cent|percent|pct\.?|basis\s+points?|bps)\b"),
-    ("R05", rf"[+-]?{NUMBER}\s*%"),
-    ("R06", rf"\bFY\s*\d{{2,4}}\s*{DASH}\s*\d{{2,4}}\b|\bFY\s*\d{{2,4}}\b|\b\d{{4}}\s*{DASH}\s*\d{{2,4}}\b"),
-    ("R07", rf"\bQ[1-4](?:\s*(?:FY\s*)?'?\d{{2,4}}(?:\s*{DASH}\s*\d{{2,4}})?)?\b|\b[1-4](?:st|nd|rd|th)\s+quarter\b"),
-    ("R08", rf"\b\d{{1,2}}\s*(?:of\s+)?{MONTH}\.?\s*\d{{4}}\b"),
-    ("R09", rf"\b{MONTH}\.?\s+\d{{4}}\b|\b\d{{1,2}}\s*/\s*\d{{1,2}}\s*/\s*\d{{2,4}}\b|\b\d{{4}}\s*/\s*\d{{2,4}}\b"),
-    ("R10", r"\b(?:[A-Za-z]\.){2,}[A-Za-z]{0,6}|\b[A-Za-z]\.[A-Za-z]{1,6}\b"),
-    ("R12", r"\b[A-Za-z]{2,}\s*[-/–]\s*\d[A-Za-z0-9-]*\b|\b[A-Za-z]+\d[A-Za-z0-9-]*\b"),
-    ("R11", r"\b[A-Z]{2,6}\b"),
-    ("R13", r"\b[A-Za-z]{2,}(?:[-/][A-Za-z]{2,})+\b"),
-    ("R14", rf"[+-]?{NUMBER}"),
-    ("R15", r"\b[A-Za-z]+['’](?:s|t|re|ve|ll|d|m)\b"),
-    ("R16", r"[A-Za-z]+(?:['’][A-Za-z]+)*"),
-    ("R17", r"[^\sA-Za-z0-9]"),
+    ("R01", 100.0, r"\b\d{1,3}(?:,\d{2,3})++(?:\.\d++)?\s*+(?:lakh\s+crore|trillion|billion|million|crore|lakh|thousand|bn|mn)\b"),
+    ("R02", 99.0, r"(?:₹|US\s?\$|US\$|Rs\.?|rs\.?|INR|inr|USD|usd|\$|€|EUR|eur|GBP|gbp|£)\s*+\d++[\d,]*+(?:\.\d++)?\s*+(?:lakh\s+crore|trillion|billion|million|crore|lakh|bn|mn)?"),
+    ("R03", 98.0, r"\b\d++[\d,]*+(?:\.\d++)?\s*+(?:lakh\s+crore|trillion|billion|million|crore|lakh|thousand|bn|mn)\b"),
+    ("R04", 97.0, r"\b\d++[\d,]*+(?:\.\d++)?\s*+(?:per\s+cent|percent|pct\.?|basis\s+points?|bps)\b"),
+    ("R05", 96.0, r"[+-]?\d++[\d,]*+(?:\.\d++)?\s*+%"),
+    ("R06", 95.0, r"\bFY\s*+\d{2,4}\s*+[-/–—]\s*+\d{2,4}+\b|\bFY\s*+\d{2,4}+\b|\b\d{4}\s*+[-/–—]\s*+\d{2,4}+\b"),
+    ("R07", 94.0, r"\bQ[1-4]\s*+(?:FY\s*+\d{2,4}(?:\s*+[-/–—]\s*+\d{2,4}+)?|'?\d{2,4}(?:\s*+[-/–]\s*+\d{2,4}+)?)?\b|\b[1-4](?:st|nd|rd|th)\s+quarter\b"),
+    ("R08", 93.0, r"\b\d{1,2}\s*+(?:of\s+)?(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)[a-z]*\.?\s*+\d{4}+\b"),
+    ("R09", 92.0, r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4}+\b|\b\d{1,2}\s*/\s*\d{1,2}\s*/\s*\d{2,4}+\b|\b\d{4}\s*/\s*\d{2,4}+\b"),
+    ("R10", 91.0, r"\b(?:[A-Za-z]\.){2,}+[A-Za-z]{1,6}+\b|\b[A-Za-z]{1,6}+\.(?:[A-Za-z]\.){1,}+[A-Za-z]{0,6}\b|\b[A-Za-z]{1,4}+\.(?:[A-Za-z]{1,4}+\.){1,3}+(?![\w])|\b[A-Za-z]\.[A-Za-z]{1,6}+\b"),
+    ("R11", 90.0, r"\b[A-Z]{2,6}+\b"),
+    ("R12", 90.5, r"\b[A-Za-z]{2,}+\s*+[-/–]\s*+\d++[A-Za-z0-9\-]*+\b|\b[A-Z]{2,}+\d++[A-Za-z0-9\-]*+\b|\b[A-Za-z]+\d++[A-Za-z0-9]*+\b"),
+    ("R13", 88.0, r"\b[A-Za-z]{2,}+(?:[-/][A-Za-z]{2,}+)+\b"),
+    ("R14", 87.0, r"[+-]?\d++[\d,]*+(?:\.\d++)?"),
+    ("R15", 86.0, r"\b[A-Za-z]+['’](?:s|t|re|ve|ll|d|m)\b"),
+    ("R16", 85.0, r"[A-Za-z]+(?:['’][A-Za-z]+)*+"),
+    ("R17", 84.0, r"[^\sA-Za-z0-9]"),
 )
-_MASTER = re.compile("|".join(f"(?P<{n}>{p})" for n, p in RULES))
+_BY_PRIORITY = sorted(RULES, key=lambda r: -r[1])
+_MASTER = re.compile("|".join(f"(?P<{n}>{p})" for n, _, p in _BY_PRIORITY))
+_UNPRINTED = str.maketrans("\ufffd’‘“”–—−\u00a0", " ''\"\"--- ")
+
+
+def surface(text: str) -> str:
+    """Quotes and dashes as ASCII, what does not print as a space: the text that the rules read."""
+    return "".join(c if c.isprintable() else " " for c in text.translate(_UNPRINTED))
 
 
 def explain(text: str) -> list[tuple[str, str]]:
     """(token, rule) in order."""
-    return [(t, m.lastgroup) for m in _MASTER.finditer(text) if (t := m[0].strip())]
+    return [(t, m.lastgroup) for m in _MASTER.finditer(surface(text)) if (t := m[0].strip())]
 
 
 def domain_tokens(text: str) -> list[str]:
     return [t for t, _ in explain(text)]
 
 
+def rule_tokens(c: Column) -> Column:
+    """``explain`` as a Column: array of (token, rule).
+
+    One replacement writes every rule's group of a match between marks, exactly one of which is not
+    empty; the marks before the token tell its rule.
+    """
+    count = len(_BY_PRIORITY)
+    master = "(?U)" + "|".join(f"({p})" for _, _, p in _BY_PRIORITY)
+    marked = F.regexp_replace(ascii_marks(c), master, "\u0003" + "\u0002".join(f"${k}" for k in range(1, count + 1)))
+    parts = F.filter(F.split(marked, "\u0003"), lambda x: F.contains(x, F.lit("\u0002")))
+    names = F.array(*(F.lit(n) for n, _, _ in _BY_PRIORITY))
+    token = lambda x: F.trim(F.translate(x, "\u0002", ""))
+    rule = lambda x: F.element_at(names, F.length(x) - F.length(F.ltrim(x, F.lit("\u0002"))) + 1)
+    return F.filter(F.transform(parts, lambda x: F.struct(token(x).alias("token"), rule(x).alias("rule"))), lambda t: t["token"] != "")
+
+
+#: A sign that was cut off, and what it belongs to: (token before, token).
+_REJOIN = tuple(
+    (re.compile(a, re.I), re.compile(b, re.I))
+    for a, b in (
+        (r"^([-+]?\d[\d,]*(?:\.\d+)?)$", r"^(?:%|per\s+cent|percent)$"),
+        (r"^(?:₹|US\$|Rs\.?|INR|\$|€|GBP)$", r"^\d"),
+        (r"^/$", r"^\d"),
+    )
+)
+_WHOLE = re.compile("|".join(f"(?:{p})" for _, p in sorted(CATEGORIES, key=lambda c: -len(c[1]))), re.I)
+
+
+def hybrid(text: str, split: Callable[[str], list[str]]) -> list[str]:
+    """Expressions as one token each, what lies between them by ``split``, cut-off signs joined again."""
+    plain, pieces, at = surface(text), [], 0
+    for m in _WHOLE.finditer(plain):
+        if not (own := m[0].strip()):
+            continue
+        pieces += [*split(plain[at : m.start()]), own]
+        at = m.end()
+    out: list[str] = []
+    for token in [*pieces, *split(plain[at:])]:
+        if out and any(b.match(token) and a.match(out[-1]) for a, b in _REJOIN):
+            out[-1] += token
+        else:
+            out.append(token)
+    return out
+
+
 def protect(text: str, tokens: list[str]) -> list[str]:
     """Runs of tokens that spell an expression become one term, longest expressions first."""
     out = list(tokens)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions import morphology, typed
+from corvane.functions import morphology, snippets, typed
 from corvane.functions.tokens import STOPWORDS
 
 
@@ -56,20 +56,30 @@ def expression_spans(c: Column) -> Column:
     return run(c)
 
 
-def domain_tokens(c: Column) -> Column:
-    @F.pandas_udf("array<struct<token:string,rule:string>>")
+def hybrid_tokens(c: Column) -> Column:
+    """Domain tokens with every multi-part expression as one term, lower case."""
+
+    @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"token": a, "rule": b} for a, b in typed.explain(t or "")])
+        return s.map(lambda t: [w.lower() for w in typed.hybrid(t or "", snippets.treebank)])
 
     return run(c)
 
 
-def hybrid_tokens(c: Column) -> Column:
-    """Domain tokens with every multi-part expression as one term, lower case."""
+def protected_tokens(c: Column) -> Column:
+    """Domain tokens, the parts of each expression joined again."""
 
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [w.lower() for w in typed.protect(t or "", typed.domain_tokens(t or ""))])
+        return s.map(lambda t: typed.protect(t or "", typed.domain_tokens(t or "")))
+
+    return run(c)
+
+
+def typed_parts(c: Column) -> Column:
+    @F.pandas_udf("array<struct<kind:string,part:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"kind": k, "part": p} for k, p in typed.typed_components(t or "")])
 
     return run(c)
 

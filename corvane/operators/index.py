@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.tokens import WORDS, is_indexable, ngrams, tokenize
+from corvane.functions.tokens import WORDS, ngrams, tokenize
 
 
 def tokens(units: DataFrame, pattern: str = WORDS, lower: bool = True) -> DataFrame:
@@ -30,31 +32,65 @@ def postings(toks: DataFrame) -> DataFrame:
 
 
 def terms(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(
+    """One row a term.  Units are counted per document first, so no row is multiplied to count distinct documents."""
+    keys = ["term", "is_phrase"] if "is_phrase" in post.columns else ["term"]
+    per = post.groupBy(*keys, "document_id").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("units"))
+    return per.groupBy(*keys).agg(
         F.sum("tf").alias("term_frequency"),
-        F.count(F.lit(1)).alias("posting_frequency"),
-        F.countDistinct("document_id").alias("document_frequency"),
+        F.sum("units").alias("posting_frequency"),
+        F.count(F.lit(1)).alias("document_frequency"),
     )
 
 
 def phrases(units: DataFrame, sizes: tuple[int, ...] = (2, 3), least: int = 5, least_documents: int = 2, most: int = 20_000) -> DataFrame:
-    """Indexed phrases by rank: frequent runs of indexable tokens; ``most`` is the dictionary's size."""
+    """Indexed phrases by rank: frequent runs of indexable tokens; ``most`` is the dictionary's size.
+
+    Runs are counted per document first; the tokens of the default pattern are all indexable.
+    """
     toks = token_arrays(units, "document_id")
     grams = toks.select("document_id", F.explode(F.concat(*(ngrams(F.col("t"), n, "_") for n in sizes))).alias("phrase"))
-    counted = grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("freq"), F.countDistinct("document_id").alias("docs"))
-    good = F.forall(F.split("phrase", "_"), is_indexable)
-    chosen = counted.where((F.col("freq") >= least) & (F.col("docs") >= least_documents) & good)
+    per = grams.groupBy("phrase", "document_id").agg(F.count(F.lit(1)).alias("k"))
+    counted = per.groupBy("phrase").agg(F.sum("k").alias("freq"), F.count(F.lit(1)).alias("docs"))
+    chosen = counted.where((F.col("freq") >= least) & (F.col("docs") >= least_documents))
     top = chosen.orderBy(F.desc("freq"), "phrase").limit(most)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("freq"), "phrase")))
 
 
-def index_statistics(post: DataFrame, dictionary: DataFrame) -> DataFrame:
+def phrase_postings(units: DataFrame, chosen: DataFrame, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """Postings of indexed phrases; ``chosen`` is bounded by the dictionary's size."""
+    toks = token_arrays(units, "unit_id", "document_id")
+    parts = [toks.select("unit_id", "document_id", F.posexplode(ngrams(F.col("t"), n, "_")).alias("pos", "term")) for n in sizes]
+    grams = reduce(DataFrame.unionByName, parts)
+    return postings(grams.join(F.broadcast(chosen.select(F.col("phrase").alias("term"))), "term"))
+
+
+def with_phrases(post: DataFrame, phrase_post: DataFrame) -> DataFrame:
+    return post.withColumn("is_phrase", F.lit(False)).unionByName(phrase_post.withColumn("is_phrase", F.lit(True)))
+
+
+def index_statistics(dictionary: DataFrame, units: DataFrame) -> DataFrame:
+    """The twenty measures of an index as one row, from its terms and its indexed units."""
+    n = F.col("posting_frequency")
+    phrase = F.col("is_phrase")
+    per_document = units.groupBy("document_id").agg(F.count(F.lit(1)).alias("u"))
+    held = per_document.agg(F.sum("u").alias("indexed_units"), F.count(F.lit(1)).alias("indexed_documents"))
     a = dictionary.agg(
-        F.count(F.lit(1)).alias("terms"), F.sum("posting_frequency").alias("postings"), F.sum("term_frequency").alias("occurrences"),
-        F.max("posting_frequency").alias("max_postings"), F.sum(F.when(F.col("posting_frequency") == 1, 1).otherwise(0)).alias("singletons"),
+        F.count(F.lit(1)).alias("index_terms"), F.count_if(~phrase).alias("unigram_terms"), F.count_if(phrase).alias("phrase_terms"),
+        F.sum(n).alias("total_postings"), F.sum(F.when(~phrase, n).otherwise(0)).alias("unigram_postings"), F.sum(F.when(phrase, n).otherwise(0)).alias("phrase_postings"),
+        F.sum("term_frequency").alias("total_positions"), F.count_if(n == 1).alias("singleton_terms"), F.round(F.avg("term_frequency"), 4).alias("mean_term_frequency"),
+        F.round(F.avg("document_frequency"), 4).alias("mean_document_frequency"), F.max(n).alias("longest_posting_list"),
+        F.min(F.struct((-n).alias("n"), "term"))["term"].alias("longest_posting_term"),
     )
-    b = post.agg(F.countDistinct("unit_id").alias("units"), F.countDistinct("document_id").alias("documents"))
-    return a.crossJoin(b).withColumn("mean_postings", F.round(F.col("postings") / F.col("terms"), 4))
+    rows = a.crossJoin(held).crossJoin(coverage_terms(dictionary).withColumnRenamed("terms_for_share", "terms_in_90_percent_of_postings"))
+    share = lambda x, y, places=4: F.coalesce(F.round(F.col(x) / F.when(F.col(y) > 0, F.col(y)), places), F.lit(0.0))
+    return rows.select(
+        "*",
+        share("indexed_units", "indexed_documents", 2).alias("units_per_document"),
+        share("total_postings", "index_terms").alias("postings_per_term"),
+        share("total_positions", "total_postings").alias("mean_positions_per_posting"),
+        share("total_postings", "indexed_units").alias("postings_per_unit"),
+        share("singleton_terms", "index_terms").alias("hapax_ratio"),
+    )
 
 
 def coverage_terms(dictionary: DataFrame, share: float = 0.9) -> DataFrame:

@@ -11,12 +11,13 @@ from corvane.functions.tokens import STOPWORDS, ngrams, tokenize
 from corvane.operators.index import token_arrays
 
 
-def corpus_totals(toks: DataFrame) -> DataFrame:
-    return toks.agg(
-        F.count(F.lit(1)).alias("tokens"), F.countDistinct("term").alias("unique_terms"),
-        F.countDistinct(F.when(F.col("term").rlike(r"\p{L}"), F.col("term"))).alias("vocabulary"),
-        F.countDistinct("unit_id").alias("units"), F.countDistinct("document_id").alias("documents"),
-    ).withColumn("ttr", F.round(F.col("unique_terms") / F.col("tokens"), 6))
+def corpus_totals(units: DataFrame) -> DataFrame:
+    """Tokens, types and units of a corpus: terms are counted per term, units per document, and each count is summed."""
+    t = token_arrays(units, "document_id").where(F.size("t") > 0)
+    words = t.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    held = t.groupBy("document_id").agg(F.count(F.lit(1)).alias("u")).agg(F.coalesce(F.sum("u"), F.lit(0)).alias("units"), F.count(F.lit(1)).alias("documents"))
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("unique_terms"), F.count_if(F.col("term").rlike(r"\p{L}")).alias("vocabulary"))
+    return total.crossJoin(held).withColumn("ttr", F.round(F.col("unique_terms") / F.when(F.col("tokens") > 0, F.col("tokens")), 6))
 
 
 def document_statistics(units: DataFrame) -> DataFrame:
@@ -29,9 +30,18 @@ def document_statistics(units: DataFrame) -> DataFrame:
     )
 
 
-def frequencies(toks: DataFrame) -> DataFrame:
-    return toks.groupBy("term").agg(
-        F.count(F.lit(1)).alias("term_frequency"), F.countDistinct("unit_id").alias("unit_frequency"), F.countDistinct("document_id").alias("document_frequency")
+def _with_units(tokens: Column) -> Column:
+    """Each token as an occurrence, and each different one of a unit once more to count the unit."""
+    one = lambda x, tf, uf: F.struct(x.alias("x"), F.lit(tf).alias("tf"), F.lit(uf).alias("uf"))
+    return F.concat(F.transform(tokens, lambda x: one(x, 1, 0)), F.transform(F.array_distinct(tokens), lambda x: one(x, 0, 1)))
+
+
+def frequencies(units: DataFrame) -> DataFrame:
+    """(term, term_frequency, unit_frequency, document_frequency), summed per document first."""
+    rows = token_arrays(units, "document_id").select("document_id", F.inline(_with_units(F.col("t"))))
+    per = rows.groupBy("x", "document_id").agg(F.sum("tf").alias("tf"), F.sum("uf").alias("uf"))
+    return per.groupBy(F.col("x").alias("term")).agg(
+        F.sum("tf").alias("term_frequency"), F.sum("uf").alias("unit_frequency"), F.count(F.lit(1)).alias("document_frequency")
     )
 
 
@@ -45,8 +55,10 @@ def top(df: DataFrame, by: str, name: str, k: int) -> DataFrame:
 
 
 def ngram_counts(units: DataFrame, n: int) -> DataFrame:
-    grams = token_arrays(units, "unit_id").select("unit_id", F.explode(ngrams(F.col("t"), n)).alias("ngram"))
-    return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("freq"), F.countDistinct("unit_id").alias("units"), F.min("unit_id").alias("first_unit"))
+    """(ngram, freq, units, first_unit) by one aggregation."""
+    grams = token_arrays(units, "unit_id").where(F.size("t") >= n).select("unit_id", F.explode(F.array(ngrams(F.col("t"), n))).alias("g"))
+    rows = grams.select("unit_id", F.inline(_with_units(F.col("g"))))
+    return rows.groupBy(F.col("x").alias("ngram")).agg(F.sum("tf").alias("freq"), F.sum("uf").alias("units"), F.min("unit_id").alias("first_unit"))
 
 
 def function_ratio(ngram: Column, words: tuple[str, ...] = STOPWORDS) -> Column:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions import tokens as tk
+from corvane.functions import typed
 from corvane.operators import annotate as an
 from corvane.operators import index as ix
 from corvane.operators import statistics as st
-from corvane.plans.q_search import posting_rows, unit_rows
+from corvane.plans.q_search import posting_rows, term_rows, unit_rows
 from corvane.plans.queries import POSTINGS, TERMS, TOKENS, UNITS, query
 from corvane.sources.corpus import numbered, page_sections, table, turns
 
@@ -116,9 +117,20 @@ def fl2_stopwords(spark, sf):
     return u.groupBy("document_id").agg(F.sum(F.size("t")).alias("before"), F.sum(F.size(tk.drop_stopwords(F.col("t")))).alias("after"))
 
 
-@query("fl3_indexable", f"WITH {TOKENS} SELECT term FROM tokens WHERE regexp_matches(term, '\\p{{L}}') OR regexp_matches(term, '^[0-9]+([.,][0-9]+)+$|%|^(19|20)[0-9]{{2}}$') GROUP BY 1")
+_SHAPES = [("7",), ("%",), ("%5",), ("5%",), ("-",), ("--3",), ("per cent",), ("fy26",), ("250",), ("3.5",), ("",), ("½",), ("_",)]
+
+
+@query(
+    "fl3_indexable",
+    f"""WITH {TOKENS}, w AS (SELECT DISTINCT term FROM tokens UNION SELECT term FROM (VALUES {', '.join(f"('{x}')" for (x,) in _SHAPES)}) v(term)
+    UNION SELECT DISTINCT unnest(string_split_regex(text, '[ \\n]+')) FROM documents)
+    SELECT term FROM w WHERE term <> '' AND (regexp_matches(term, '[\\p{{L}}\\p{{No}}\\p{{Nl}}]')
+    OR (regexp_matches(term, '[0-9]') AND regexp_matches(lower(term), '^(%|per *cent|percent|fy[0-9]|fiscal|[0-9][0-9]? +[a-z][a-z][a-z]|[0-9])')))""",
+)
 def fl3_indexable(spark, sf):
-    return toks(spark, sf).where(tk.is_indexable(F.col("term"))).select("term").distinct()
+    raw = docs(spark, sf).select(F.explode(F.split("text", r"[ \n]+")).alias("term"))
+    w = toks(spark, sf).select("term").unionByName(raw).unionByName(spark.createDataFrame(_SHAPES, "term string"))
+    return w.where(tk.is_indexable(F.col("term"))).distinct()
 
 
 @query("fl4_documents", "SELECT doc_id, source, lang, n_chars FROM documents WHERE lang = 'en' AND source = 'src3' AND contains(lower(text), 'the')")
@@ -127,13 +139,8 @@ def fl4_documents(spark, sf):
     return d.select("doc_id", "source", "lang", "n_chars")
 
 
-@query("fl7_judgments", "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1 AND doc_id % 2 = 0 ORDER BY doc_id")
+@query("fl7_judgments", "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1")
 def fl7_judgments(spark, sf):
-    return table(spark, sf, "labels").where("quality = 1 and doc_id % 2 = 0").select("doc_id", "quality", "toxic").orderBy("doc_id")
-
-
-@query("fl7_all_judgments", "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1")
-def fl7_all_judgments(spark, sf):
     return table(spark, sf, "labels").where("quality = 1").select("doc_id", "quality", "toxic")
 
 
@@ -167,12 +174,12 @@ def fl9_representative(spark, sf):
     count(DISTINCT unit_id) AS units, count(DISTINCT document_id) AS documents, round(count(DISTINCT term) / CAST(count(*) AS DOUBLE), 6) AS ttr FROM tokens""",
 )
 def ag1_totals(spark, sf):
-    return st.corpus_totals(toks(spark, sf))
+    return st.corpus_totals(unit_rows(spark, sf))
 
 
 @query("ag2_frequencies", f"WITH {TOKENS} SELECT term, count(*) AS term_frequency, count(DISTINCT unit_id) AS unit_frequency, count(DISTINCT document_id) AS document_frequency FROM tokens GROUP BY 1")
 def ag2_frequencies(spark, sf):
-    return st.frequencies(toks(spark, sf))
+    return st.frequencies(unit_rows(spark, sf))
 
 
 @query("ag3_first_seen", f"WITH {TOKENS} SELECT term, unit_id AS first_unit, pos AS first_pos FROM tokens QUALIFY row_number() OVER (PARTITION BY term ORDER BY unit_id, pos) = 1")
@@ -199,7 +206,7 @@ def ag5_corpus(spark, sf):
 
 @query("ag6_vocabulary", f"WITH {TOKENS} SELECT term, count(*) AS freq, count(DISTINCT document_id) AS docs FROM tokens GROUP BY 1 ORDER BY freq DESC, term LIMIT 100")
 def ag6_vocabulary(spark, sf):
-    f = toks(spark, sf).groupBy("term").agg(F.count(F.lit(1)).alias("freq"), F.countDistinct("document_id").alias("docs"))
+    f = st.frequencies(unit_rows(spark, sf)).select("term", F.col("term_frequency").alias("freq"), F.col("document_frequency").alias("docs"))
     return st.top(f, "freq", "term", 100)
 
 
@@ -264,30 +271,6 @@ def _grams(n: int) -> str:
     f AS (SELECT *, len(list_filter(string_split(ngram, ' '), lambda w: w IN {STOP})) / CAST({n} AS DOUBLE) AS ratio FROM c)"""
 
 
-@query("ng2_bigrams", f"WITH {_grams(2)} SELECT ngram, freq, units, first_unit FROM c WHERE freq >= 2")
-def ng2_bigrams(spark, sf):
-    return st.ngram_counts(unit_rows(spark, sf), 2).where("freq >= 2")
-
-
-@query("ng3_trigram_rows", f"WITH {_grams(3)} SELECT ngram, CAST(3 AS BIGINT) AS n, freq, units, round(ratio, 4) AS function_ratio, ratio < 0.85 AS has_content, freq > 1 AS repeated FROM f WHERE freq >= 2")
-def ng3_trigram_rows(spark, sf):
-    return st.ngram_rows(st.ngram_counts(unit_rows(spark, sf), 3), 3).where("freq >= 2")
-
-
-@query("ng4_summary", " UNION ALL ".join(f"SELECT * FROM (WITH {_grams(n)} SELECT CAST({n} AS BIGINT) AS n, CAST(sum(freq) AS BIGINT) AS total, count(*) AS unique_ngrams, count(*) FILTER (freq = 1) AS singletons FROM c)" for n in (1, 2, 3)))
-def ng4_summary(spark, sf):
-    u, out = unit_rows(spark, sf), None
-    for n in (1, 2, 3):
-        row = st.ngram_counts(u, n).agg(F.lit(n).cast("long").alias("n"), F.sum("freq").alias("total"), F.count(F.lit(1)).alias("unique_ngrams"), F.count_if(F.col("freq") == 1).alias("singletons"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-@query("ng5_mined", f"WITH {_grams(2)} SELECT ngram, CAST(2 AS BIGINT) AS n, freq, units, round(ratio, 4) AS function_ratio, ratio < 0.85 AS has_content, freq > 1 AS repeated FROM f WHERE freq >= 5 AND units >= 3 AND round(ratio, 4) < 0.85 ORDER BY freq DESC, ngram LIMIT 1200")
-def ng5_mined(spark, sf):
-    return st.mined_phrases(st.ngram_counts(unit_rows(spark, sf), 2), 2)
-
-
 _ROWS = "SELECT ngram, CAST({n} AS BIGINT) AS n, freq, units, round(ratio, 4) AS function_ratio, ratio < 0.85 AS has_content, freq > 1 AS repeated FROM f"
 _SUMMARY = "SELECT CAST({n} AS BIGINT) AS n, CAST(sum(freq) AS BIGINT) AS total, count(*) AS unique_ngrams, count(*) FILTER (freq = 1) AS singletons FROM c"
 
@@ -296,8 +279,8 @@ def _each(select: str, sizes) -> str:
     return " UNION ALL ".join(f"SELECT * FROM (WITH {_grams(n)} {select.format(n=n)})" for n in sizes)
 
 
-@query("ng2_all_ngrams", _each("SELECT CAST({n} AS BIGINT) AS n, ngram, freq, units, first_unit FROM c", range(1, 6)))
-def ng2_all_ngrams(spark, sf):
+@query("ng2_ngrams", _each("SELECT CAST({n} AS BIGINT) AS n, ngram, freq, units, first_unit FROM c", range(1, 6)))
+def ng2_ngrams(spark, sf):
     u, out = unit_rows(spark, sf), None
     for n in range(1, 6):
         rows = st.ngram_counts(u, n).select(F.lit(n).cast("long").alias("n"), "ngram", "freq", "units", "first_unit")
@@ -305,18 +288,18 @@ def ng2_all_ngrams(spark, sf):
     return out
 
 
-@query("ng3_all_rows", _each(_ROWS, range(1, 6)))
-def ng3_all_rows(spark, sf):
+@query("ng3_rows", _each(_ROWS, range(1, 6)))
+def ng3_rows(spark, sf):
     return st.ngram_rows_of(unit_rows(spark, sf), (1, 2, 3, 4, 5))
 
 
-@query("ng4_all_summary", _each(_SUMMARY, range(1, 6)))
-def ng4_all_summary(spark, sf):
+@query("ng4_summary", _each(_SUMMARY, range(1, 6)))
+def ng4_summary(spark, sf):
     return st.ngram_summary(st.ngram_rows_of(unit_rows(spark, sf), (1, 2, 3, 4, 5)))
 
 
-@query("ng5_all_mined", f"SELECT * FROM ({_each(_ROWS, (2, 3, 4))}) WHERE freq >= 5 AND units >= 3 AND function_ratio < 0.85 ORDER BY freq DESC, n DESC, ngram LIMIT 1200")
-def ng5_all_mined(spark, sf):
+@query("ng5_mined", f"SELECT * FROM ({_each(_ROWS, (2, 3, 4))}) WHERE freq >= 5 AND units >= 3 AND function_ratio < 0.85 ORDER BY freq DESC, n DESC, ngram LIMIT 1200")
+def ng5_mined(spark, sf):
     return st.ranked_phrases(st.ngram_rows_of(unit_rows(spark, sf), (2, 3, 4)))
 
 
@@ -344,35 +327,19 @@ def du1_identical(spark, sf):
     return st.identical(docs(spark, sf), chars=1 << 30)
 
 
-@query("du2_identical_head", "SELECT doc_id, o AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(substr(text, 1, 200000))) AS o FROM documents WHERE length(text) >= 1000) WHERE o < doc_id")
-def du2_identical_head(spark, sf):
-    return st.identical(docs(spark, sf), 1000, chars=200_000)
-
-
-@query("du2_identical_whole", "SELECT doc_id, o AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS o FROM documents WHERE length(text) >= 1000) WHERE o < doc_id")
-def du2_identical_whole(spark, sf):
+@query("du2_identical", "SELECT doc_id, o AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS o FROM documents WHERE length(text) >= 1000) WHERE o < doc_id")
+def du2_identical(spark, sf):
     return st.identical(docs(spark, sf), 1000)
 
 
 @query(
     "du3_near",
-    """WITH t AS (SELECT doc_id, substr(text, 1, 20000) AS t FROM documents WHERE length(text) >= 1000),
-    b AS (SELECT doc_id, md5(substr(t, i * 200 + 1, 200)) AS h FROM (SELECT doc_id, t, unnest(range(0, length(t) // 200)) AS i FROM t)),
-    o AS (SELECT h, min(doc_id) AS owner FROM b GROUP BY 1), n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY 1)
-    SELECT * FROM (SELECT doc_id, owner, round(count(*) / CAST(any_value(n) AS DOUBLE), 6) AS similarity FROM b JOIN o USING (h) JOIN n USING (doc_id) WHERE owner < doc_id GROUP BY 1, 2) WHERE similarity >= 0.5""",
-)
-def du3_near(spark, sf):
-    return st.shingle_overlap(docs(spark, sf), chars=20_000, least=0.5, least_chars=1000)
-
-
-@query(
-    "du3_near_whole",
     """WITH t AS (SELECT doc_id, text AS t FROM documents WHERE length(text) >= 1000),
     b AS (SELECT doc_id, md5(substr(t, i * 200 + 1, 200)) AS h FROM (SELECT doc_id, t, unnest(range(0, (length(t) + 199) // 200)) AS i FROM t)),
     o AS (SELECT h, min(doc_id) AS owner FROM b GROUP BY 1), n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY 1)
     SELECT * FROM (SELECT doc_id, owner, round(count(*) / CAST(any_value(n) AS DOUBLE), 6) AS similarity FROM b JOIN o USING (h) JOIN n USING (doc_id) WHERE owner < doc_id GROUP BY 1, 2) WHERE similarity >= 0.5""",
 )
-def du3_near_whole(spark, sf):
+def du3_near(spark, sf):
     return st.shingle_overlap(docs(spark, sf), least=0.5, least_chars=1000)
 
 
@@ -403,14 +370,8 @@ def jn4_sources(spark, sf):
     )
 
 
-@query("sc3_ids", "SELECT doc_id, printf('D%02d', row_number() OVER (ORDER BY source, doc_id)) AS assigned FROM documents WHERE lang = 'es'")
+@query("sc3_ids", "SELECT doc_id, printf('D%02d', row_number() OVER (ORDER BY source, doc_id)) AS assigned FROM documents")
 def sc3_ids(spark, sf):
-    d = docs(spark, sf).where("lang = 'es'").select("doc_id", "source")
-    return d.withColumn("r", F.row_number().over(Window.orderBy("source", "doc_id"))).select("doc_id", F.format_string("D%02d", "r").alias("assigned"))
-
-
-@query("sc3_all_ids", "SELECT doc_id, printf('D%02d', row_number() OVER (ORDER BY source, doc_id)) AS assigned FROM documents")
-def sc3_all_ids(spark, sf):
     return numbered(docs(spark, sf).select("doc_id", "source"), "source", "doc_id").select("doc_id", F.format_string("D%02d", "number").alias("assigned"))
 
 
@@ -480,7 +441,7 @@ def wn_section_end(spark, sf):
 )
 def cm4_variants(spark, sf):
     v = spark.createDataFrame([(1, "the"), (1, "of"), (2, "and"), (2, "qqzz"), (3, "in"), (3, "is")], "variant_group long, term string")
-    known = ix.terms(posting_rows(spark, sf)).select("term", F.lit(1).alias("x"))
+    known = term_rows(spark, sf).select("term", F.lit(1).alias("x"))
     n, k = F.count(F.lit(1)), F.count("x")
     return v.join(known, "term", "left").groupBy("variant_group").agg(n.alias("surfaces"), k.alias("indexed"), (n == k).alias("complete"))
 
@@ -506,7 +467,7 @@ def cm6_select(spark, sf):
     UNPIVOT (value FOR metric IN (terms, postings, occurrences))""",
 )
 def cm8_metric_table(spark, sf):
-    s = ix.terms(posting_rows(spark, sf)).agg(F.count(F.lit(1)).alias("terms"), F.sum("posting_frequency").alias("postings"), F.sum("term_frequency").alias("occurrences"))
+    s = term_rows(spark, sf).agg(F.count(F.lit(1)).alias("terms"), F.sum("posting_frequency").alias("postings"), F.sum("term_frequency").alias("occurrences"))
     return s.unpivot([], ["terms", "postings", "occurrences"], "metric", "value")
 
 
@@ -563,8 +524,9 @@ def rules_index(spark, sf):
 
 @query("tk2_domain_tokens")
 def tk2_domain_tokens(spark, sf):
-    t = unit_rows(spark, sf).select(F.explode(an.domain_tokens(F.col("text"))).alias("x"))
-    return t.groupBy(F.col("x.rule").alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x.token").alias("distinct_tokens"))
+    t = unit_rows(spark, sf).select(F.inline(typed.rule_tokens(F.col("text"))))
+    per = t.groupBy("rule", "token").agg(F.count(F.lit(1)).alias("k"))
+    return per.groupBy("rule").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("distinct_tokens"))
 
 
 @query("tk6_hybrid_tokens")

@@ -107,7 +107,7 @@ _DOMAIN = ["of the", "in the", "zzzz the", "and", "qqqq"]
 )
 def cm3_domain_recall(spark, sf):
     p = spark.createDataFrame([(x,) for x in _DOMAIN], "phrase string").select("phrase", F.explode(F.split("phrase", " ")).alias("term"))
-    known = ix.terms(qs.posting_rows(spark, sf)).select("term", F.lit(True).alias("known"))
+    known = qs.term_rows(spark, sf).select("term", F.lit(True).alias("known"))
     k = p.join(known, "term", "left").groupBy("phrase").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("present"))
     n, f = F.count(F.lit(1)), F.count_if("present")
     return k.agg(n.alias("terms"), f.alias("found"), F.round(f / n, 6).alias("recall"))

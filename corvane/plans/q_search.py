@@ -11,6 +11,7 @@ from corvane.operators import index as ix
 from corvane.operators import query_language as ql
 from corvane.operators import search as se
 from corvane.plans.queries import POSTINGS, TERMS, TOKENS, UNITS, query
+from corvane.sources import sinks
 from corvane.sources.corpus import table, units
 
 
@@ -18,10 +19,36 @@ def unit_rows(spark: SparkSession, sf: str) -> DataFrame:
     return units(table(spark, sf, "documents"))
 
 
-def posting_rows(spark: SparkSession, sf: str) -> DataFrame:
+def built_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings from the texts."""
     return ix.postings(ix.tokens(unit_rows(spark, sf)))
 
 
+def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return sinks.saved_index(spark, sf, lambda: unit_rows(spark, sf), lambda u: ix.postings(ix.tokens(u)))
+
+
+def posting_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings of the saved index, sorted by term: a filter on terms prunes files and row groups."""
+    return _index(spark, sf)[0]
+
+
+def term_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf)[1]
+
+
+def phrase_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings of the indexed phrases, saved beside the index."""
+    def build(u: DataFrame) -> DataFrame:
+        return ix.phrase_postings(u, ix.phrases(u))
+
+    return sinks.saved_index(spark, f"{sf}#phrases", lambda: _index(spark, sf)[2], build)[0]
+
+
+def full_index(spark: SparkSession, sf: str) -> DataFrame:
+    return ix.with_phrases(posting_rows(spark, sf), phrase_rows(spark, sf))
+
+
 #: The query set over the invented corpus.
 QUERY_SET = {
     "Q01": "the", "Q02": "of", "Q03": "th", "Q04": '"of the"', "Q05": '"in the"', "Q06": '"of the and"', "Q07": "the AND of",
@@ -62,35 +89,78 @@ def tk5_simple(spark, sf):
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-_FLAG_SQL = ", ".join(f"count(*) FILTER (regexp_matches(t, '{p}')) AS n_{n}" for n, p in tk.FLAGS.items())
+_MONTHS = "(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*"
+#: The classes as an independent engine states them: dates one form at a time.
+_DATE_SQL = " OR ".join(
+    f"regexp_full_match(lower(t), '{p}')"
+    for p in (
+        rf"\d\d?\s+(of\s+)?{_MONTHS}\.?,?\s*\d{{0,4}}", rf"{_MONTHS}\.?,?\s*\d{{0,4}}", r"fy\s*\d{2,4}(\s*[-/]\s*\d{2,4})?", r"\d{4}\s*[-/]\s*\d{2,4}",
+        r"q[1-4]\s*(fy\s*\d{2,4}|\d{2,4})?", r"(19|20)\d\d", r"\d\d?/\d\d?/\d{2,4}",
+    )
+)
+_CLASS_SQL = {
+    "numeric": rf"(regexp_full_match(t, '[-+]?\d[\d,]*(\.\d+)?') OR (regexp_matches(t, '\d') AND NOT ({_DATE_SQL})))",
+    "date": f"({_DATE_SQL})",
+    "fiscal_year": r"(regexp_full_match(lower(t), 'fy\s*\d{2,4}(\s*[-/]\s*\d{2,4})?') OR regexp_full_match(t, '\d{4}\s*[-/]\s*\d{2,4}'))",
+    "percentage": r"(regexp_full_match(lower(t), '[+-]?\d[\d,]*(\.\d+)?\s*(%|per\s+cent|percent|pct\.?)') OR trim(t) = '%')",
+    "currency": r"(starts_with(t, '₹') OR starts_with(t, '$') OR starts_with(t, '€') OR starts_with(t, '£') OR regexp_matches(t, '^US\s*\$') OR left(t, 2) IN ('Rs', 'rs') OR left(t, 3) IN ('INR', 'inr', 'USD', 'usd', 'EUR', 'eur', 'GBP', 'gbp'))",
+    "abbreviation": r"(regexp_full_match(t, '[A-Z]{2,6}') OR regexp_full_match(t, '([A-Za-z]\.){2,}[A-Za-z]{1,6}') OR regexp_full_match(t, '[A-Za-z]{1,6}\.([A-Za-z]\.)+'))",
+    "hyphenated": r"((contains(t, '-') OR contains(t, '/')) AND regexp_matches(t, '\p{L}'))",
+    "special": "lower(t) IN (" + ", ".join(f"'{w}'" for w in tk.SPECIAL) + ")",
+}
+_CLASS_COUNTS = ", ".join(f"count(*) FILTER ({c}) AS n_{n}" for n, c in _CLASS_SQL.items())
+#: Tokens of each class beside those of the corpus, which has few of them.
+TYPED_TOKENS = (
+    "7.4%", "+10.5 percent", "7.4 per cent", "%", "1,25,000", "-3", "FY2025-26", "FY 26", "2024-25", "2025", "Q1 FY26", "31 March 2026", "January 2026", "31/03/2026", "₹50,000", "Rs. 50", "US $ 2",
+    "usd", "GDP", "B.Tech", "Ph.D.", "M.Sc.A", "year-on-year", "repo-rate", "crore", "a/b", "1/2", "COVID-19", "sept.", "may", "Inr", "GDPGDPX", "12 of may", "fy1",
+)
+_TYPED_SQL = ", ".join("('" + t.replace("'", "''") + "')" for t in TYPED_TOKENS)
 
 
-@query("tk12_token_flags", f"SELECT source, count(*) AS tokens, {_FLAG_SQL} FROM (SELECT source, unnest(string_split_regex(text, '[ \\n]+')) AS t FROM documents) WHERE t <> '' GROUP BY 1")
+@query(
+    "tk12_token_flags",
+    f"""SELECT source, count(*) AS tokens, {_CLASS_COUNTS} FROM (SELECT source, t FROM (SELECT source, unnest(string_split_regex(text, '[ \\n]+')) AS t FROM documents) WHERE t <> ''
+    UNION ALL SELECT 'typed', t FROM (VALUES {_TYPED_SQL}) v(t)) GROUP BY 1""",
+)
 def tk12_token_flags(spark, sf):
     t = table(spark, sf, "documents").select("source", F.explode(F.split("text", r"[ \n]+")).alias("t")).where("t <> ''")
-    return t.groupBy("source").agg(F.count(F.lit(1)).alias("tokens"), *(F.count_if(tk.flag(F.col("t"), n)).alias(f"n_{n}") for n in tk.FLAGS))
+    t = t.unionByName(spark.createDataFrame([("typed", x) for x in TYPED_TOKENS], "source string, t string"))
+    own = tk.classes(F.col("t"))
+    return t.groupBy("source").agg(F.count(F.lit(1)).alias("tokens"), *(F.count_if(own[n]).alias(f"n_{n}") for n in tk.CLASSES))
 
 
 @query("ag7_postings", f"WITH {POSTINGS} SELECT term, unit_id, tf, array_to_string(positions, ';') AS positions FROM postings")
 def ag7_postings(spark, sf):
-    return posting_rows(spark, sf).select("term", "unit_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ";").alias("positions"))
+    return built_postings(spark, sf).select("term", "unit_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ";").alias("positions"))
 
 
 @query("ag8_terms", f"WITH {TERMS} SELECT term, CAST(term_frequency AS BIGINT) AS term_frequency, posting_frequency, document_frequency FROM terms")
 def ag8_terms(spark, sf):
-    return ix.terms(posting_rows(spark, sf))
+    return ix.terms(built_postings(spark, sf))
+
+
+FULL_TERMS = POSTINGS + """, ta AS (SELECT unit_id, document_id, regexp_extract_all(lower(text), '[\\p{L}0-9]+') AS a FROM units),
+  pg AS (SELECT unit_id, document_id, unnest(list_transform(range(1, len(a) - n + 2), lambda i: array_to_string(a[i:i + n - 1], '_'))) AS term FROM ta, (VALUES (2), (3)) v(n) WHERE len(a) >= n),
+  chosen AS (SELECT term FROM (SELECT term, count(*) AS freq, count(DISTINCT document_id) AS docs FROM pg GROUP BY 1) WHERE freq >= 5 AND docs >= 2 ORDER BY freq DESC, term LIMIT 20000),
+  full_postings AS (SELECT term, unit_id, document_id, tf, false AS is_phrase FROM postings
+    UNION ALL SELECT term, unit_id, document_id, count(*), true FROM pg WHERE term IN (SELECT term FROM chosen) GROUP BY 1, 2, 3),
+  full_terms AS (SELECT term, is_phrase, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS n, count(DISTINCT document_id) AS df FROM full_postings GROUP BY 1, 2)"""
 
 
 @query(
     "ag9_index_statistics",
-    f"""WITH {TERMS} SELECT count(*) AS terms, CAST(sum(posting_frequency) AS BIGINT) AS postings, CAST(sum(term_frequency) AS BIGINT) AS occurrences,
-    max(posting_frequency) AS max_postings, count(*) FILTER (posting_frequency = 1) AS singletons,
-    (SELECT count(DISTINCT unit_id) FROM postings) AS units, (SELECT count(DISTINCT document_id) FROM postings) AS documents,
-    round(CAST(sum(posting_frequency) AS DOUBLE) / count(*), 4) AS mean_postings FROM terms""",
+    f"""WITH {FULL_TERMS}, t AS (SELECT count(*) AS index_terms, count(*) FILTER (NOT is_phrase) AS unigram_terms, count(*) FILTER (is_phrase) AS phrase_terms, CAST(sum(n) AS BIGINT) AS total_postings,
+    CAST(coalesce(sum(n) FILTER (NOT is_phrase), 0) AS BIGINT) AS unigram_postings, CAST(coalesce(sum(n) FILTER (is_phrase), 0) AS BIGINT) AS phrase_postings, CAST(sum(tf) AS BIGINT) AS total_positions,
+    count(*) FILTER (n = 1) AS singleton_terms, round(avg(tf), 4) AS mean_term_frequency, round(avg(df), 4) AS mean_document_frequency, max(n) AS longest_posting_list,
+    (SELECT term FROM full_terms ORDER BY n DESC, term LIMIT 1) AS longest_posting_term FROM full_terms),
+    u AS (SELECT count(*) AS indexed_units, count(DISTINCT document_id) AS indexed_documents FROM units),
+    r AS (SELECT row_number() OVER o AS k, sum(n) OVER o AS run FROM full_terms WINDOW o AS (ORDER BY n DESC, term, is_phrase ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT min(k) AS terms_in_90_percent_of_postings FROM r WHERE run >= 0.9 * (SELECT sum(n) FROM full_terms))
+    SELECT *, round(indexed_units / indexed_documents, 2) AS units_per_document, round(total_postings / index_terms, 4) AS postings_per_term, round(total_positions / total_postings, 4) AS mean_positions_per_posting,
+    round(total_postings / indexed_units, 4) AS postings_per_unit, round(singleton_terms / index_terms, 4) AS hapax_ratio FROM t, u, c""",
 )
 def ag9_index_statistics(spark, sf):
-    p = posting_rows(spark, sf)
-    return ix.index_statistics(p, ix.terms(p))
+    return ix.index_statistics(ix.terms(full_index(spark, sf)), _index(spark, sf)[2])
 
 
 @query(
@@ -100,7 +170,7 @@ def ag9_index_statistics(spark, sf):
     SELECT min(n) AS terms_for_share FROM r WHERE run >= 0.9 * (SELECT sum(posting_frequency) FROM terms)""",
 )
 def ag10_coverage(spark, sf):
-    return ix.coverage_terms(ix.terms(posting_rows(spark, sf)))
+    return ix.coverage_terms(term_rows(spark, sf))
 
 
 @query(
@@ -109,7 +179,7 @@ def ag10_coverage(spark, sf):
     g AS (SELECT document_id, unnest(list_transform(range(1, len(a) - n + 2), lambda i: array_to_string(a[i:i + n - 1], '_'))) AS phrase FROM t, (VALUES (2), (3)) v(n) WHERE len(a) >= n),
     c AS (SELECT phrase, count(*) AS freq, count(DISTINCT document_id) AS docs FROM g GROUP BY 1),
     ok AS (SELECT * FROM c WHERE freq >= 5 AND docs >= 2 AND NOT list_contains(list_transform(string_split(phrase, '_'),
-      lambda w: regexp_matches(w, '\\p{{L}}') OR regexp_matches(w, '^(19|20)[0-9]{{2}}$')), false))
+      lambda w: regexp_matches(w, '\\p{{L}}') OR regexp_matches(w, '^[0-9]')), false))
     SELECT phrase, freq, docs, row_number() OVER (ORDER BY freq DESC, phrase) AS rank FROM ok QUALIFY rank <= 20000""",
 )
 def ng7_phrases(spark, sf):
@@ -196,19 +266,19 @@ def ag13_coverage(spark, sf):
 
 @query("ix19_top_terms", f"WITH {TERMS} SELECT term, posting_frequency, document_frequency FROM terms ORDER BY posting_frequency DESC, term LIMIT 25")
 def ix19_top_terms(spark, sf):
-    return ix.terms(posting_rows(spark, sf)).select("term", "posting_frequency", "document_frequency").orderBy(F.desc("posting_frequency"), "term").limit(25)
+    return term_rows(spark, sf).select("term", "posting_frequency", "document_frequency").orderBy(F.desc("posting_frequency"), "term").limit(25)
 
 
 @query("ix20_page", f"WITH {TERMS} SELECT term, document_frequency FROM terms ORDER BY document_frequency DESC, term LIMIT 20 OFFSET 40")
 def ix20_page(spark, sf):
-    t = ix.terms(posting_rows(spark, sf)).select("term", "document_frequency")
+    t = term_rows(spark, sf).select("term", "document_frequency")
     return se.page(t, [F.desc("document_frequency"), "term"], 20, 40)
 
 
 @query("ix18_unknown_terms", f"WITH {TERMS} SELECT w AS term FROM (VALUES ('the'), ('zzzz'), ('of'), ('qqxx')) v(w) WHERE w NOT IN (SELECT term FROM terms)")
 def ix18_unknown_terms(spark, sf):
     asked = spark.createDataFrame([("the",), ("zzzz",), ("of",), ("qqxx",)], "term string")
-    return asked.join(ix.terms(posting_rows(spark, sf)).select("term"), "term", "left_anti")
+    return asked.join(term_rows(spark, sf).select("term"), "term", "left_anti")
 
 
 def _ranking(spark, sf) -> tuple[DataFrame, DataFrame]:

@@ -33,6 +33,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for tables that live as long as the process."""
+    path = f"{scratch_root(spark)}/corvane/{label}-{uuid.uuid4().hex}"
+    _live[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, label: str = "t", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once and return a scan of the written table."""
     spark = df.sparkSession

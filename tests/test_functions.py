@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import morphology as mo
 from corvane.functions import text as tx
-from corvane.functions import typed
+from corvane.functions import snippets, text, typed
 from corvane.operators import annotate, statistics
 from corvane.sources import corpus, sinks
 
@@ -60,3 +60,37 @@ def test_as_of(spark):
 def test_stem_families(spark):
     words = spark.createDataFrame([("growing",), ("grow",), ("grows",), ("sea",)], "term string")
     assert [(r.stem, r.n) for r in annotate.stem_families(words).collect()] == [("grow", 3)]
+
+
+TYPED = [
+    "up 7.4% in FY2025-26, Rs. 1.25 lakh crore on 31 March 2026; Ph.D. and B.Tech. at the U.S.A.", "rs. 500 crore, US $2.5 billion; Q1 FY26–27 or 3rd quarter", "COVID-19 M4 ABCdef GSTINs year-on-year bank's don’t",
+    "1,25,000 and +3.2 million; 31/03/2026 2025/26 � x y — z\tend", "é naïve straße №5 ½ 日本 a​b", "", "   ", "3.4per cent 5pct. bps 25 bps e.g. M.finance a.b.c.d",
+]
+
+
+def test_rule_tokens_as_a_column(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    rows = list(enumerate(TYPED + docs))
+    got = spark.createDataFrame(rows, "i int, t string").select("i", typed.rule_tokens(F.col("t")).alias("x")).collect()
+    for r in got:
+        assert [(x.token, x.rule) for x in r.x] == typed.explain(rows[r.i][1]), rows[r.i][1]
+
+
+def test_rules_keep_their_expressions():
+    rule = lambda t: typed.explain(t)
+    assert rule("Ph.D.")[0] == ("Ph.D.", "R10") and rule("rs. 500 crore") == [("rs. 500 crore", "R02")]
+    assert rule("COVID-19") == [("COVID-19", "R12")] and rule("GDP") == [("GDP", "R11")] and rule("1,25,000 crore") == [("1,25,000 crore", "R01")]
+    assert rule("7.4 per cent") == [("7.4 per cent", "R04")] and rule("FY2025-26") == [("FY2025-26", "R06")] and rule("January 2026") == [("January 2026", "R09")]
+
+
+def test_hybrid_keeps_expressions_whole():
+    split = snippets.treebank
+    assert typed.hybrid("grew 7.4 per cent in FY2025-26.", split) == ["grew", "7.4 per cent", "in", "FY2025-26", "."]
+    assert typed.hybrid("x $ 2", str.split) == ["x", "$ 2"] and typed.hybrid("it's 6.50 % now", split)[2] == "6.50 %"
+    assert typed.hybrid("a / 5", str.split) == ["a", "/5"]
+
+
+def test_paragraphs_and_keys(spark):
+    d = spark.createDataFrame([(" a  b\n\nc ", "ﬁne  STRASSE Ⅳ"), (None, None)], "t string, k string")
+    got = d.select(text.paragraphs(F.col("t")), text.normalised_key(F.col("k"))).collect()
+    assert tuple(got[0]) == (["a", "b", "c"], "fine strasse iv") and tuple(got[1]) == (None, None)

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 def test_every_document_has_an_id(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("source", "doc_id").collect()
     want = {r.doc_id: f"D{i:02d}" for i, r in enumerate(sorted(docs), 1)}
-    assert {r.doc_id: r.assigned for r in registry.queries()["sc3_all_ids"](spark, SF).collect()} == want
+    assert {r.doc_id: r.assigned for r in registry.queries()["sc3_ids"](spark, SF).collect()} == want
 
 
 def test_numbers_over_ranges(spark):
@@ -21,7 +21,7 @@ def test_numbers_over_ranges(spark):
 
 def test_odd_judgments_stay(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
-    got = {r.doc_id for r in registry.queries()["fl7_all_judgments"](spark, SF).collect()}
+    got = {r.doc_id for r in registry.queries()["fl7_judgments"](spark, SF).collect()}
     assert got == {r.doc_id for r in labels if r.quality == 1} and any(i % 2 for i in got)
 
 
