@@ -108,6 +108,43 @@ def search(
     )
 
 
+def phrase_matches(stream: DataFrame, post: DataFrame, words: tuple[str, ...], phrase_post: DataFrame | None = None) -> DataFrame:
+    """(unit_id, via): units that hold a phrase and how it was found.
+
+    ``stream`` are the postings of all words, stopwords included; units that only meet the phrase at the
+    positions of the index ``post`` come second.  ``phrase_post`` marks units that its phrase term has too.
+    """
+    a = phrase_units(stream, words).withColumn("how", F.lit(0))
+    b = phrase_units(post, words).withColumn("how", F.lit(1))
+    found = a.unionByName(b).groupBy("unit_id").agg(F.min("how").alias("how"))
+    via = F.when(F.col("how") == 0, "stream").otherwise("index_positions")
+    if phrase_post is None:
+        return found.select("unit_id", via.alias("via"))
+    own = phrase_post.where(F.col("term") == "_".join(words)).select("unit_id", F.lit("+phrase_term").alias("more")).distinct()
+    return found.join(own, "unit_id", "left").select("unit_id", F.concat(via, F.coalesce("more", F.lit(""))).alias("via"))
+
+
+def all_of(*queries: str) -> str:
+    """The list form of AND."""
+    return _joined("AND", queries, 1)
+
+
+def any_of(*queries: str) -> str:
+    """The list form of OR."""
+    return _joined("OR", queries, 1)
+
+
+def all_but(query: str, *without: str) -> str:
+    """The first query without the units of the others."""
+    return f"({query}) AND NOT ({_joined('OR', without, 1)})" if len(without) < 2 else " AND ".join([f"({query})", *(f"NOT ({w})" for w in without)])
+
+
+def _joined(operator: str, queries: tuple[str, ...], least: int) -> str:
+    if len(queries) < least:
+        raise ql.QuerySyntaxError(f"{operator} needs {least} or more operands")
+    return f" {operator} ".join(f"({q})" for q in queries)
+
+
 def document_hits(hits: DataFrame) -> DataFrame:
     """Documents of ranked hits: best score and unit, number of hits."""
     return hits.groupBy("query_id", "document_id").agg(

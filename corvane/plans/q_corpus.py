@@ -218,22 +218,6 @@ def ag12_by_type(spark, sf):
     )
 
 
-_QUALITY = "30.0 * least(1.0, n_chars / 500.0) + 20.0 * least(1.0, units / 5.0) + 15.0 * least(1.0, paragraphs / 3.0) + 15.0 * (CASE WHEN headings > 0 THEN 1 ELSE 0 END) + 20.0 * (paragraphs / CAST(units AS DOUBLE))"
-
-
-@query(
-    "ag14_quality",
-    f"""WITH {UNITS}, s AS (SELECT document_id, sum(length(text)) AS n_chars, count(*) AS units, count(*) FILTER (unit_type = 'paragraph') AS paragraphs, count(*) FILTER (unit_type = 'heading') AS headings FROM units GROUP BY 1),
-    q AS (SELECT document_id, round({_QUALITY}, 2) AS score FROM s)
-    SELECT document_id, score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade FROM q""",
-)
-def ag14_quality(spark, sf):
-    s = st.document_statistics(unit_rows(spark, sf)).withColumnRenamed("chars", "n_chars")
-    q = s.select("document_id", F.round(F.expr(_QUALITY.replace("500.0", "500.0D").replace("0.0 *", "0.0D *").replace("5.0 *", "5.0D *").replace("DOUBLE", "DOUBLE")), 2).alias("score"))
-    grade = F.when(F.col("score") >= 85, "A").when(F.col("score") >= 70, "B").when(F.col("score") >= 50, "C").otherwise("D")
-    return q.withColumn("grade", grade)
-
-
 @query("ag15_overview", f"WITH {UNITS} SELECT source_id, lang, unit_type, count(*) AS n FROM units GROUP BY 1, 2, 3")
 def ag15_overview(spark, sf):
     return unit_rows(spark, sf).groupBy("source_id", "lang", "unit_type").agg(F.count(F.lit(1)).alias("n"))
@@ -446,21 +430,6 @@ def cm4_variants(spark, sf):
     return v.join(known, "term", "left").groupBy("variant_group").agg(n.alias("surfaces"), k.alias("indexed"), (n == k).alias("complete"))
 
 
-_CAND = "(VALUES ('A', 0.9, 0.8, 0.4, 1.0, 200, 900), ('B', 0.95, 0.7, 0.9, 1.0, 180, 880), ('C', 0.95, 0.7, 0.9, 1.0, 180, 870)) v(name, f, d, c, a, terms, postings)"
-
-
-@query(
-    "cm6_select",
-    f"""WITH s AS (SELECT name, round(0.35 * f + 0.25 * d + 0.25 * c + 0.15 * a, 6) AS score, CAST(terms AS BIGINT) AS terms, CAST(postings AS BIGINT) AS postings FROM {_CAND})
-    SELECT name, CAST(score AS DOUBLE) AS score FROM s ORDER BY score DESC, terms, postings, name LIMIT 1""",
-)
-def cm6_select(spark, sf):
-    rows = [("A", 0.9, 0.8, 0.4, 1.0, 200, 900), ("B", 0.95, 0.7, 0.9, 1.0, 180, 880), ("C", 0.95, 0.7, 0.9, 1.0, 180, 870)]
-    d = spark.createDataFrame(rows, "name string, f double, d double, c double, a double, terms long, postings long")
-    s = d.withColumn("score", F.round(0.35 * F.col("f") + 0.25 * F.col("d") + 0.25 * F.col("c") + 0.15 * F.col("a"), 6))
-    return s.orderBy(F.desc("score"), "terms", "postings", "name").limit(1).select("name", "score")
-
-
 @query(
     "cm8_metric_table",
     f"""WITH {TERMS} SELECT metric, value FROM (SELECT count(*) AS terms, CAST(sum(posting_frequency) AS BIGINT) AS postings, CAST(sum(term_frequency) AS BIGINT) AS occurrences FROM terms)
@@ -471,54 +440,6 @@ def cm8_metric_table(spark, sf):
     return s.unpivot([], ["terms", "postings", "occurrences"], "metric", "value")
 
 
-# --- data-quality rules
-
-
-@query(
-    "rules_units",
-    f"""WITH {UNITS}, d AS (SELECT printf('D%06d', doc_id) AS document_id FROM documents)
-    SELECT 'R04' AS rule_id, count(*) FILTER (unit_id IS NULL OR unit_id = '') AS evidence FROM units UNION ALL
-    SELECT 'R05', count(*) - count(DISTINCT unit_id) FROM units UNION ALL
-    SELECT 'R06', count(*) FROM units WHERE document_id NOT IN (SELECT document_id FROM d) UNION ALL
-    SELECT 'R07', count(*) FILTER (unit_id NOT LIKE document_id || '_U%') FROM units UNION ALL
-    SELECT 'R11', count(*) FILTER (unit_index < 0) FROM units UNION ALL
-    SELECT 'R12', count(*) FILTER (n_chars < 0 OR n_chars <> length(text)) FROM documents""",
-)
-def rules_units(spark, sf):
-    u, d = unit_rows(spark, sf), docs(spark, sf)
-    known = d.select(F.format_string("D%06d", "doc_id").alias("document_id"))
-    one = lambda df, rule, c: df.agg(F.lit(rule).alias("rule_id"), c.cast("long").alias("evidence"))
-    parts = [
-        one(u, "R04", F.count_if(F.col("unit_id").isNull() | (F.col("unit_id") == ""))),
-        one(u, "R05", F.count(F.lit(1)) - F.countDistinct("unit_id")),
-        one(u.join(known, "document_id", "left_anti"), "R06", F.count(F.lit(1))),
-        one(u, "R07", F.count_if(~F.col("unit_id").startswith(F.concat("document_id", F.lit("_U"))))),
-        one(u, "R11", F.count_if(F.col("unit_index") < 0)),
-        one(d, "R12", F.count_if((F.col("n_chars") < 0) | (F.col("n_chars") != F.length("text")))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@query(
-    "rules_index",
-    f"""WITH {POSTINGS} SELECT 'P01' AS rule_id, count(*) - (SELECT count(*) FROM (SELECT DISTINCT term, unit_id FROM postings)) AS evidence FROM postings UNION ALL
-    SELECT 'P03', count(*) FROM postings WHERE unit_id NOT IN (SELECT unit_id FROM units) UNION ALL SELECT 'P05', count(*) FILTER (len(positions) = 0) FROM postings UNION ALL
-    SELECT 'V08', count(*) FILTER (len(positions) <> tf) FROM postings""",
-)
-def rules_index(spark, sf):
-    p, u = posting_rows(spark, sf), unit_rows(spark, sf)
-    one = lambda df, rule, c: df.agg(F.lit(rule).alias("rule_id"), c.cast("long").alias("evidence"))
-    return (
-        one(p.groupBy("term", "unit_id").agg((F.count(F.lit(1)) - 1).alias("extra")), "P01", F.coalesce(F.sum("extra"), F.lit(0)))
-        .unionByName(one(p.join(u.select("unit_id"), "unit_id", "left_anti"), "P03", F.count(F.lit(1))))
-        .unionByName(one(p, "P05", F.count_if(F.size("positions") == 0)))
-        .unionByName(one(p, "V08", F.count_if(F.size("positions") != F.col("tf"))))
-    )
-
-
 # --- annotation without an SQL form
 
 

@@ -175,16 +175,6 @@ def tk8_typed_components(spark, sf):
     return spark.createDataFrame(_TYPED, "text string").select("text", F.inline(split("text")))
 
 
-@query("pl_rule_p14", f"WITH {POSTINGS} SELECT (SELECT count(DISTINCT unit_id) FROM postings WHERE term = 'the') AS a, (SELECT count(*) FROM (SELECT unit_id FROM postings WHERE term = 'the' EXCEPT SELECT unit_id FROM postings WHERE term = 'of')) AS a_not_b, 0 AS outside")
-def pl_rule_p14(spark, sf):
-    p = qs.posting_rows(spark, sf)
-    a, b = p.where("term = 'the'").select("unit_id"), p.where("term = 'of'").select("unit_id")
-    d = a.subtract(b)
-    return (
-        a.agg(F.countDistinct("unit_id").alias("a")).crossJoin(d.agg(F.count(F.lit(1)).alias("a_not_b"))).crossJoin(d.subtract(a).agg(F.count(F.lit(1)).cast("int").alias("outside")))
-    )
-
-
 @query("ex_event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def ex_event_windows(spark, sf):
     return index_stream.windowed_counts(table(spark, sf, "events"))

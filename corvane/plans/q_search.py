@@ -37,6 +37,11 @@ def term_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _index(spark, sf)[1]
 
 
+def index_units(spark: SparkSession, sf: str) -> DataFrame:
+    """The units of the saved index."""
+    return _index(spark, sf)[2]
+
+
 def phrase_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Postings of the indexed phrases, saved beside the index."""
     def build(u: DataFrame) -> DataFrame:
@@ -285,8 +290,7 @@ def _ranking(spark, sf) -> tuple[DataFrame, DataFrame]:
     hits = ix17_query_set(spark, sf)
     ranking = ev.to_documents(hits, "document_id")
     labels = table(spark, sf, "labels").select(F.format_string("D%06d", "doc_id").alias("item"), F.col("quality").alias("relevance"))
-    queries = spark.createDataFrame([(q,) for q in QUERY_SET], "query_id string")
-    return ranking, queries.crossJoin(labels)
+    return ranking, labels
 
 
 _RANKING = f"""WITH hits AS ({_set_sql()}),
@@ -297,7 +301,7 @@ rows1 AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS hits
 tot AS (SELECT query_id, sum(relevance) AS relevant_total FROM judgments GROUP BY 1)"""
 
 
-def _eval_sql(fp: str) -> str:
+def _eval_sql(fp: str, prefix: str = _RANKING) -> str:
     ks = ev.KS
     base = ", ".join(
         f"sum(CASE WHEN rank <= {k} THEN hit ELSE 0 END) AS hits_{k}, sum(CASE WHEN rank <= {k} AND hit = 1 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg_{k}" for k in ks
@@ -307,7 +311,7 @@ def _eval_sql(fp: str) -> str:
         f"round(CASE WHEN relevant_total = 0 THEN 0.0 ELSE dcg_{k} / list_sum(list_transform(range(1, CAST(least(relevant_total, {k}) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) END, 6) AS ndcg_at_{k}"
         for k in ks
     )
-    return f"""{_RANKING}, per AS (SELECT query_id, count(*) AS retrieved, sum(hit) AS tp, {fp} AS fp, count(*) FILTER (relevance IS NULL) AS unjudged,
+    return f"""{prefix}, per AS (SELECT query_id, count(*) AS retrieved, sum(hit) AS tp, {fp} AS fp, count(*) FILTER (relevance IS NULL) AS unjudged,
     sum(CASE WHEN hit = 1 THEN hits / rank ELSE 0 END) AS ap_sum, min(CASE WHEN hit = 1 THEN rank END) AS first, {base} FROM rows1 GROUP BY 1),
     m AS (SELECT per.*, coalesce(relevant_total, 0) AS relevant_total, CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS p, CAST(tp AS DOUBLE) / nullif(relevant_total, 0) AS r FROM per LEFT JOIN tot USING (query_id)),
     res AS (SELECT query_id, retrieved, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, unjudged, CAST(relevant_total AS BIGINT) AS relevant_total,
@@ -375,18 +379,3 @@ def ev12_judgment_coverage(spark, sf):
 def mo11_classification(spark, sf):
     pairs = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
     return ev.classification(pairs.select(F.col("quality").cast("string").alias("gold"), F.when(F.col("n_chars") >= 300, "1").otherwise("0").alias("pred")))
-
-
-@query(
-    "rule_p17_ranks",
-    f"{_HITS}, l AS (SELECT *, lag(rank) OVER w AS r0, lag(score) OVER w AS s0, lag(unit_id) OVER w AS u0 FROM hits WINDOW w AS (PARTITION BY query_id ORDER BY rank)) "
-    "SELECT count(*) FILTER (rank <> coalesce(r0, 0) + 1) AS gaps, count(*) FILTER (score > s0) AS rising, count(*) FILTER (score = s0 AND unit_id <= u0) AS ties_out_of_order FROM l",
-)
-def rule_p17_ranks(spark, sf):
-    w = Window.partitionBy("query_id").orderBy("rank")
-    rows = ix17_query_set(spark, sf).select("rank", "score", "unit_id", F.lag("rank").over(w).alias("r0"), F.lag("score").over(w).alias("s0"), F.lag("unit_id").over(w).alias("u0"))
-    return rows.agg(
-        F.count_if(F.col("rank") != F.coalesce("r0", F.lit(0)) + 1).alias("gaps"),
-        F.count_if(F.col("score") > F.col("s0")).alias("rising"),
-        F.count_if((F.col("score") == F.col("s0")) & (F.col("unit_id") <= F.col("u0"))).alias("ties_out_of_order"),
-    )

@@ -54,6 +54,38 @@ def units(documents: DataFrame) -> DataFrame:
     )
 
 
+#: Lines of a text that count as one page.
+PAGE_LINES = 40
+
+
+def structured(rows: DataFrame) -> DataFrame:
+    """Units with their page and the section they stand in, the last heading at or before them."""
+    upto = Window.partitionBy("document_id").orderBy("unit_index").rowsBetween(Window.unboundedPreceding, 0)
+    heading = F.col("unit_type") == "heading"
+    number = F.sum(heading.cast("int")).over(upto)
+    page = (F.floor(F.col("unit_index") / PAGE_LINES) + 1).cast("int")
+    return (
+        rows.withColumn("page_number", page)
+        .withColumn("page_id", F.format_string("%s_P%03d", "document_id", "page_number"))
+        .withColumn("_n", number)
+        .withColumn("section_title", F.coalesce(F.last(F.when(heading, F.col("text")), ignorenulls=True).over(upto), F.lit("UNKNOWN")))
+        .withColumn("section_number", F.when(F.col("_n") > 0, F.col("_n").cast("string")).otherwise(""))
+        .withColumn("section_id", F.when(F.col("_n") > 0, F.format_string("%s_SEC_%d", "document_id", "_n")).otherwise(""))
+        .drop("_n")
+    )
+
+
+def registry(documents: DataFrame) -> DataFrame:
+    """One row a document: its place, size, pages and digest."""
+    lines = F.size(F.split("text", "\n"))
+    bytes_ = F.octet_length("text").cast("long")
+    return documents.select(
+        "doc_id", F.format_string("D%06d", "doc_id").alias("document_id"), F.col("source").alias("source_id"), F.format_string("d%06d.txt", "doc_id").alias("filename"),
+        bytes_.alias("bytes"), F.ceil(lines / PAGE_LINES).cast("int").alias("page_count"), F.sha2("text", 256).alias("sha256"),
+        F.when(bytes_ < 512, "INVALID").otherwise("OK").alias("status"),
+    )
+
+
 def page_sections(pages: DataFrame) -> DataFrame:
     """(page_id, element_index, level, text): headings and paragraphs of raw web pages, tags stripped."""
     cut = F.split(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), r"(?i)(?=<h[1-6][ >]|<p[ >]|<li[ >]|<td[ >])")
