@@ -55,7 +55,7 @@ HELD = 20_000
 #: Bytes of text whose windows are held at once, one document at least.
 BLOCK_BYTES = 2 << 20
 #: Windows whose anchors are looked for at once, and bits that number the bytes of their text.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 16
 _PLACE_BITS = 22
 
 
