@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import shuffle_width
+from corvane.llm.common import shuffle_width, tidied
 from corvane.llm.pretokens import splitter
 from corvane.plans.scratch import materialize
 
@@ -116,6 +116,7 @@ def _split(vocab_path: str, buckets: int):
         for b, part in lists.items():
             yield 1, chunk, b, _pack("\n".join(part))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, chunk = splitter(vocab_path).split, TaskContext.get().partitionId() << 32
         ids, seen, at, chars = [], {}, [], 0
@@ -160,6 +161,7 @@ def _encode(vocab_path: str):
 def _assemble(vocab_path: str, digest: bool, decoded: bool):
     names = ["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"][: 1 + decoded]
 
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = _piece_table(vocab_path)
         part = pd.concat(list(batches), ignore_index=True)
@@ -261,6 +263,7 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     """(doc_id, decoded) from (doc_id, ids), pieces joined by one space; null ids decode to an empty text."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _piece_table(vocab_path)
         for batch in batches:

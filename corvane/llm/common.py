@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,3 +76,29 @@ def _bounds(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
         a = table.column(k).to_numpy()
         new |= a[1:] != a[:-1]
     return np.concatenate([[0], np.flatnonzero(new) + 1, [table.num_rows]])
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def tidy() -> None:
+    """Gives memory that is no longer used back to the system: Python workers wait for later tasks with what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """``run``, a function over the batches of a task, that tidies up at the task's end."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole

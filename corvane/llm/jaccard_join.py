@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, fresh, sized, whole_groups, whole_text
+from corvane.llm.common import BROADCAST_ROWS, fresh, sized, tidied, whole_groups, whole_text
 from corvane.llm.components import components
 from corvane.plans.scratch import materialize, release
 
@@ -117,6 +117,7 @@ def _features(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "text_hash", "sid", "size", "tokens", *_SKETCH]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sids, sizes, tokens, sketches = [], [], [], []
@@ -162,6 +163,7 @@ def _search(sizes: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.nda
     return (np.concatenate(u), np.concatenate(v)) if u else (rest, rest)
 
 
+@tidied
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of the buckets in rows sorted by key; one bucket and one batch are held."""
     for table, cuts in whole_groups(batches, "key"):
@@ -238,6 +240,7 @@ def _candidate_edges(nodes: DataFrame, runs: int, small: int, depth: int) -> Dat
 def _sets(texts: DataFrame) -> DataFrame:
     """(sid, shingles) of texts."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py()) for t in batch.column("text")]
@@ -309,6 +312,7 @@ def _group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return table.column("nid").to_numpy(), table.column("mult").to_numpy(), sets
 
 
+@tidied
 def _verify_or_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results of whole components; one packed row for each block of the others."""
     pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
@@ -327,6 +331,7 @@ def _verify_or_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield _results(done)
 
 
+@tidied
 def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results of single blocks and of pairs of blocks, in rows sorted by (label, one, two)."""
     unpack = zstandard.ZstdDecompressor().decompress

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import sized
+from corvane.llm.common import sized, tidied
 from corvane.plans.scratch import materialize, release
 
 KINDS = ("email", "ip", "card", "phone")
@@ -171,6 +171,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
 def _first_pass(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -221,6 +222,7 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     bits = min(BLOOM_MOST, max(BLOOM_LEAST, (16 * known - 1).bit_length()))
     sent = spark.sparkContext.broadcast(_filter_words(patterns, bits))
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.unpackbits(sent.value.view(np.uint8), bitorder="little").view(bool)
         c = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x5BD1E995)]

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import whole_groups
+from corvane.llm.common import tidied, whole_groups
 from corvane.plans.scratch import materialize, release
 
 LENGTH = 200
@@ -146,6 +146,7 @@ _CHUNK = "batch int, chunk bigint, blob binary"
 def pack_texts(docs: DataFrame, batches: int) -> DataFrame:
     """(chunk, blob, batch): texts as UTF-8 bytes with their ids, some megabytes a chunk."""
 
+    @tidied
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, ids, texts, size = TaskContext.get().partitionId() << 20, [], [], 0
 
@@ -174,6 +175,7 @@ def pack_texts(docs: DataFrame, batches: int) -> DataFrame:
 _ENTRY = "key bigint, ctx bigint, row bigint, place bigint"
 
 
+@tidied
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h64 = xxhash.xxh3_64_intdigest
     for batch in batches:
@@ -253,6 +255,7 @@ def _contexts(part: pd.DataFrame) -> pd.DataFrame:
 _SPAN = "chunk bigint, row bigint, start bigint, end bigint"
 
 
+@tidied
 def _shared_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of the contexts in rows sorted by key; some keys are held at a time, one at least."""
     for table, cuts in whole_groups(batches, "key"):
@@ -310,6 +313,7 @@ def _common_windows(part: pd.DataFrame) -> pd.DataFrame:
 _WINDOW = "key bigint, dist int, win bigint, single boolean, row bigint, at bigint"
 
 
+@tidied
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each window of the contexts."""
     h64 = xxhash.xxh3_64_intdigest

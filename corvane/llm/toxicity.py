@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from corvane.llm.common import fresh, whole_text
+from corvane.llm.common import fresh, tidied, whole_text
 from corvane.plans.scratch import materialize, release
 
 BITS = 18
@@ -126,6 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     picked = picked.select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t.as_py(), bits).astype(np.int32) for t in batch.column("text")]
@@ -158,6 +159,7 @@ def _scored(docs: DataFrame, model: Model | None, threshold: float, score_name:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         dense = own.dense()
