@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Typographic marks and the ASCII marks that stand for them.
@@ -103,3 +104,18 @@ def split_list(c: Column, mark: str = ";") -> Column:
 
 def percent_reduction(before: Column, after: Column) -> Column:
     return F.when(before == 0, F.lit(0.0)).otherwise(F.round((before - after) * 100.0 / before, 2))
+
+
+def matching(rows: DataFrame, equal: dict[str, str | None], holds: str = "", columns: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that have all the given values and, in any case, the text in one of the columns; empty conditions do not filter."""
+    for c, value in equal.items():
+        if value:
+            rows = rows.where(F.col(c) == value)
+    if not holds:
+        return rows
+    return rows.where(reduce(Column.__or__, (F.contains(F.lower(c), F.lit(holds.lower())) for c in columns)))
+
+
+def is_safe_id(c: Column) -> Column:
+    """Letters, digits and underscores, 120 at most: an id that may be used in a path."""
+    return F.coalesce(c.rlike("^[A-Za-z0-9_]{1,120}$"), F.lit(False))

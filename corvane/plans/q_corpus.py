@@ -133,38 +133,11 @@ def fl3_indexable(spark, sf):
     return w.where(tk.is_indexable(F.col("term"))).distinct()
 
 
-@query("fl4_documents", "SELECT doc_id, source, lang, n_chars FROM documents WHERE lang = 'en' AND source = 'src3' AND contains(lower(text), 'the')")
-def fl4_documents(spark, sf):
-    d = docs(spark, sf).where("lang = 'en' and source = 'src3'").where(F.contains(F.lower("text"), F.lit("the")))
-    return d.select("doc_id", "source", "lang", "n_chars")
-
-
 @query("fl7_judgments", "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1")
 def fl7_judgments(spark, sf):
     return table(spark, sf, "labels").where("quality = 1").select("doc_id", "quality", "toxic")
 
 
-_SAMPLE = {"digit": "[0-9]", "percent": "%", "capitals": r"\p{Lu}{4}", "accent": "[éèäöüñ]", "bar": r"\|", "mail": "@"}
-_SAMPLE_SQL = " UNION ALL ".join(
-    f"SELECT '{n}' AS category, unit_id FROM (SELECT unit_id, row_number() OVER (ORDER BY length(text), unit_id) AS r, count(*) OVER () AS n FROM units WHERE regexp_matches(text, '{p}')) WHERE r = n // 2 + 1"
-    for n, p in _SAMPLE.items()
-)
-
-
-@query("fl9_representative", f"WITH {UNITS} {_SAMPLE_SQL}")
-def fl9_representative(spark, sf):
-    """The unit of median length of each category, by an exact rank over length counts, then over that length only."""
-    u = unit_rows(spark, sf)
-    which = F.explode(F.filter(F.array(*(F.when(F.col("text").rlike(p), F.lit(n)) for n, p in _SAMPLE.items())), lambda x: x.isNotNull()))
-    rows = u.select(which.alias("category"), F.length("text").alias("len"), "unit_id")
-    by = rows.groupBy("category", "len").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("category")
-    runs = by.withColumn("below", F.coalesce(F.sum("k").over(w.orderBy("len").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("k").over(w))
-    at = runs.withColumn("want", F.floor(F.col("n") / 2) + 1).where("want > below and want <= below + k").select("category", "len", (F.col("want") - F.col("below")).alias("r"))
-    inside = rows.join(at, ["category", "len"]).withColumn("i", F.row_number().over(Window.partitionBy("category").orderBy("unit_id")))
-    return inside.where("i = r").select("category", "unit_id")
-
-
 # --- statistics
 
 
@@ -210,8 +183,8 @@ def ag6_vocabulary(spark, sf):
     return st.top(f, "freq", "term", 100)
 
 
-@query("ag12_by_type", "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean_value, round(median(value), 4) AS median_value, round(max(value), 4) AS max_value FROM events GROUP BY 1")
-def ag12_by_type(spark, sf):
+@query("ex_event_types", "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean_value, round(median(value), 4) AS median_value, round(max(value), 4) AS max_value FROM events GROUP BY 1")
+def ex_event_types(spark, sf):
     v = F.col("value")
     return table(spark, sf, "events").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 4).alias("mean_value"), F.round(F.median(v), 4).alias("median_value"), F.round(F.max(v), 4).alias("max_value")
@@ -365,21 +338,6 @@ def sc2_inventory(spark, sf):
     return docs(spark, sf).select("doc_id", n.alias("bytes"), F.sha2("text", 256).alias("sha256"), F.when(n < 512, "INVALID").otherwise("OK").alias("status"))
 
 
-_RULES = (("src1[0-9]", "late"), ("src[0-4]$", "early"))
-
-
-@query("sc4_rules", "SELECT doc_id, CASE WHEN regexp_matches(source, 'src1[0-9]') THEN 'late' WHEN regexp_matches(source, 'src[0-4]$') THEN 'early' ELSE 'UNKNOWN' END AS resolved FROM documents")
-def sc4_rules(spark, sf):
-    c = F.lit("UNKNOWN")
-    for p, name in reversed(_RULES):
-        c = F.when(F.col("source").rlike(p), name).otherwise(c)
-    return docs(spark, sf).select("doc_id", c.alias("resolved"))
-
-
-@query("sc5_year", "SELECT doc_id, regexp_extract(text, '(19|20)[0-9]{2}(-?[0-9]{2})?') AS year FROM documents WHERE regexp_matches(text, '(19|20)[0-9]{2}')")
-def sc5_year(spark, sf):
-    d = docs(spark, sf).where(F.col("text").rlike("(19|20)[0-9]{2}"))
-    return d.select("doc_id", F.regexp_extract("text", "(19|20)[0-9]{2}(-?[0-9]{2})?", 0).alias("year"))
 
 
 @query("sc_turns", "SELECT printf('C%06d', conv_id) AS document_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT role) AS roles FROM conversations GROUP BY 1")
@@ -487,18 +445,6 @@ def mo5_lemmas(spark, sf):
     return an.map_vocabulary(toks(spark, sf), an.morphology.lemma, "lemma")
 
 
-_ENTITIES = {"the": "ARTICLE", "of the": "PHRASE", "and": "JOIN", "der": "ARTICLE", "que": "JOIN"}
-
-
-@query("mo13_dictionary")
-def mo13_dictionary(spark, sf):
-    return an.dictionary_entities(unit_rows(spark, sf), _ENTITIES)
-
-
-@query("mo8_dominant_tags", "WITH c AS (SELECT event_type AS term, CAST(user_id % 3 AS VARCHAR) AS tag, count(*) AS n FROM events GROUP BY 1, 2) SELECT term, max_by(tag, n * 10 + CAST(tag AS BIGINT)) AS tag, max(n) AS n FROM c GROUP BY 1")
-def mo8_dominant_tags(spark, sf):
-    e = table(spark, sf, "events").select(F.col("event_type").alias("term"), (F.col("user_id") % 3).cast("string").alias("tag"))
-    return an.dominant_tags(e)
 
 
 @query("cm1_pipeline")

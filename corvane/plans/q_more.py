@@ -25,11 +25,6 @@ def fl6_ngram_filter(spark, sf):
     return g.where(F.contains("ngram", F.lit("the")) & (F.col("freq") >= 3)).select("ngram", "freq")
 
 
-@query("fl8_ids", "SELECT count(*) FILTER (regexp_matches(source, '^[A-Za-z0-9_]{1,120}$')) AS good FROM documents")
-def fl8_ids(spark, sf):
-    return qc.docs(spark, sf).agg(F.count_if(F.col("source").rlike("^[A-Za-z0-9_]{1,120}$")).alias("good"))
-
-
 @query("ag16_labels", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2 ORDER BY n DESC")
 def ag16_labels(spark, sf):
     return table(spark, sf, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
@@ -72,26 +67,14 @@ def ag19_stages(spark, sf):
     return stages.select((F.col("p") + 1).cast("long").alias("stage"), "tokens", tx.percent_reduction(F.col("a"), F.col("tokens")).alias("reduction"))
 
 
-@query(
-    "jn3_registry",
-    f"""WITH {UNITS}, s AS (SELECT document_id, count(*) AS units FROM units GROUP BY 1)
-    SELECT d.doc_id, coalesce(s.units, 0) AS units, l.quality, sha256(d.text) AS sha256 FROM documents d LEFT JOIN s ON s.document_id = printf('D%06d', d.doc_id) LEFT JOIN labels l USING (doc_id)""",
-)
-def jn3_registry(spark, sf):
-    s = qs.unit_rows(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).alias("units"))
-    d = qc.docs(spark, sf).select("doc_id", F.format_string("D%06d", "doc_id").alias("document_id"), F.sha2("text", 256).alias("sha256"))
-    rows = d.join(s, "document_id", "left").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return rows.select("doc_id", F.coalesce("units", F.lit(0)).alias("units"), "quality", "sha256")
-
-
 @query("jn5_judged_ranking", f"{qs._RANKING} SELECT query_id, item, rank, relevance FROM rows0")
 def jn5_judged_ranking(spark, sf):
     r = ev.judged(*qs._ranking(spark, sf))
     return r.select("query_id", "item", F.col("rank").cast("long").alias("rank"), "relevance")
 
 
-@query("jn8_turns_by_conversation", "SELECT conv_id, count(*) AS n, string_agg(role, ';' ORDER BY turn, role) AS roles FROM conversations GROUP BY 1")
-def jn8_turns_by_conversation(spark, sf):
+@query("ex_turns_by_conversation", "SELECT conv_id, count(*) AS n, string_agg(role, ';' ORDER BY turn, role) AS roles FROM conversations GROUP BY 1")
+def ex_turns_by_conversation(spark, sf):
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("r"))
     return c.select("conv_id", "n", F.array_join(F.transform("r", lambda x: x["role"]), ";").alias("roles"))
 
@@ -162,17 +145,6 @@ def rp15_typed_totals(spark, sf):
     return e.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-_TYPED = [("7.4 per cent in FY2025-26",), ("Rs. 50,000 on 31 March 2026",), ("US$ 2.5 billion in Q1 FY26",), ("1,25,000 and 3.2 million",), ("B.Tech, GDP, year-on-year",)]
-
-
-@query("tk8_typed_components")
-def tk8_typed_components(spark, sf):
-    """The fixture of typed expressions, split into parts: one row a part, the fixture being the table."""
-    @F.pandas_udf("array<struct<kind:string,part:string>>")
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"kind": k, "part": p} for k, p in typed.typed_components(t)])
-
-    return spark.createDataFrame(_TYPED, "text string").select("text", F.inline(split("text")))
 
 
 @query("ex_event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -232,27 +204,6 @@ def mo6_lemma_comparison(spark, sf):
     return out.withColumn("reduction", tx.percent_reduction(F.col("before"), F.col("after")))
 
 
-@query("cm2_preservation")
-def cm2_preservation(spark, sf):
-    """Share of expressions that come out of the hybrid tokenizer as exactly one term, by category."""
-    u = spark.createDataFrame(_TYPED, "text string").withColumn("unit_id", F.col("text")).select("unit_id", "text")
-    spans = u.select("unit_id", F.inline(an.expression_spans(F.col("text")))).select("unit_id", "category", F.lower(F.regexp_replace("text", r"\s+", " ")).alias("term"))
-    terms = u.select("unit_id", F.explode(an.hybrid_tokens(F.col("text"))).alias("term")).distinct().withColumn("kept", F.lit(1))
-    joined = spans.join(terms, ["unit_id", "term"], "left").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count("kept").alias("kept"))
-    return joined.withColumn("share", F.round(F.col("kept") / F.col("n"), 4))
-
-
-@query(
-    "st2_captions",
-    "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(line, '^Table [0-9]') THEN 'table' WHEN regexp_matches(line, '^(Figure|Chart) [0-9]') THEN 'figure' "
-    "WHEN regexp_matches(line, '^Box [0-9]') THEN 'box' ELSE 'none' END AS kind FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1",
-)
-def st2_captions(spark, sf):
-    line = F.col("line")
-    kind = F.when(line.rlike("^Table [0-9]"), "table").when(line.rlike("^(Figure|Chart) [0-9]"), "figure").when(line.rlike("^Box [0-9]"), "box").otherwise("none")
-    return qc.docs(spark, sf).select(F.explode(F.split("text", "\n")).alias("line")).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "st9_low_text",
     "SELECT doc_id, CASE WHEN n_chars < 60 AND w < 15 THEN 'scanned' WHEN n_chars < 120 OR w < 20 THEN 'low' ELSE 'ok' END AS status FROM (SELECT doc_id, n_chars, len(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) AS w FROM documents)",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import q_corpus, q_more, q_rules, q_search, q_tables  # noqa: F401
+from corvane.plans import q_corpus, q_more, q_reports, q_rules, q_search, q_tables  # noqa: F401
 from corvane.plans.queries import ORACLE, QUERIES
 
 

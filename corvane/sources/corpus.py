@@ -117,3 +117,22 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*", least: in
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     status = F.when(F.col("length") < least, "INVALID").otherwise("OK")
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), status.alias("status"))
+
+
+def load_evidence(spark: SparkSession, required: dict[str, str], optional: dict[str, str], schemas: dict[str, T.StructType]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables by name, problems): CSV results of an earlier run; what is missing is an empty table and, if required, a problem."""
+    tables, problems = {}, []
+    for name, path in {**required, **optional}.items():
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            tables[name] = read_csv(spark, path, schemas[name])
+            continue
+        tables[name] = spark.createDataFrame([], schemas[name])
+        if name in required:
+            problems.append((name, path, "missing"))
+    return tables, spark.createDataFrame(problems, "name string, path string, problem string")
+
+
+def by_unit(entities: DataFrame) -> DataFrame:
+    """(unit_id, entities) of entity rows."""
+    return entities.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct(*(c for c in entities.columns if c != "unit_id")))).alias("entities"))
