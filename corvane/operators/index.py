@@ -106,5 +106,6 @@ def coverage_terms(dictionary: DataFrame, share: float = 0.9) -> DataFrame:
     )
     total = dictionary.agg(F.sum("posting_frequency").alias("total"))
     need = F.ceil((F.col("total") * share - F.col("before")) / F.col("posting_frequency"))
-    reached = F.col("before") + F.col("k") * F.col("posting_frequency") >= F.col("total") * share
+    target = F.col("total") * share
+    reached = (F.col("before") < target) & (F.col("before") + F.col("k") * F.col("posting_frequency") >= target)
     return run.crossJoin(total).where(reached).agg(F.min(F.col("above") + need).cast("long").alias("terms_for_share"))

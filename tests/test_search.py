@@ -66,3 +66,13 @@ def test_judgments(spark):
     rows = [("q", "a", 1, "1"), ("q", "a", 0, "2"), ("q", "b", 2, "1"), ("", "c", 1, "1"), ("q", "d", None, "1")]
     good = ev.valid_judgments(spark.createDataFrame(rows, "query_id string, item string, relevance int, judged_at string")).collect()
     assert [(r.item, r.relevance) for r in good] == [("a", 0)]
+
+
+def test_terms_that_cover_a_share(spark):
+    counts = [50] + [10] * 3 + [2] * 5 + [1] * 40
+    d = spark.createDataFrame([(f"t{i}", n) for i, n in enumerate(counts)], "term string, posting_frequency long")
+    for share in (0.3, 0.5, 0.65, 0.7, 0.9, 0.99, 1.0):
+        run, want = 0, 0
+        while run < sum(counts) * share:
+            run, want = run + counts[want], want + 1
+        assert ix.coverage_terms(d, share).first()[0] == want, share
