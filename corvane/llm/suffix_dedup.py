@@ -231,7 +231,8 @@ class SuffixIndex:
 
     def repeated(self) -> DataFrame:
         """The entries whose key was met more than once."""
-        return self.entries().join(self.met.distinct(), "key", "left_semi")
+        # written first: both sides of the join then come from an exchange, and a hot key can be split over tasks
+        return self.entries().join(materialize(self.met.distinct(), "met"), "key", "left_semi")
 
 
 def _sides(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
