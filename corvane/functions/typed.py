@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import ascii_marks
@@ -91,20 +91,38 @@ def domain_tokens(text: str) -> list[str]:
     return [t for t, _ in explain(text)]
 
 
+#: A word that no rule before R16 can take: no capitals after the first letter, and what follows is neither a
+#: digit, a dash, an apostrophe, nor a dot inside a word.  Most words are of this kind and need no other try.
+_PLAIN_WORD = r"[A-Za-z][a-z]*+(?= +[A-Za-z]|[,;:!?)]|\. +[^ 0-9]|\.? *\z)"
+_TRIED = [("R16", _PLAIN_WORD), *((n, p) for n, _, p in _BY_PRIORITY)]
+
+
+def _marked(c: Column) -> Column:
+    """Parts between marks: one replacement writes every rule's group of a match, exactly one of which is not empty."""
+    master = "(?U)" + "|".join(f"({p})" for _, p in _TRIED)
+    return F.split(F.regexp_replace(ascii_marks(c), master, "\u0003" + "\u0002".join(f"${k}" for k in range(1, len(_TRIED) + 1))), "\u0003")
+
+
+def _token(part: Column) -> Column:
+    return F.trim(F.translate(part, "\u0002", ""))
+
+
+def _rule(part: Column) -> Column:
+    """The rule of a part, by the number of marks before its token."""
+    return F.element_at(F.array(*(F.lit(n) for n, _ in _TRIED)), F.length(part) - F.length(F.ltrim(part, F.lit("\u0002"))) + 1)
+
+
 def rule_tokens(c: Column) -> Column:
-    """``explain`` as a Column: array of (token, rule).
-
-    One replacement writes every rule's group of a match between marks, exactly one of which is not
-    empty; the marks before the token tell its rule.
-    """
-    count = len(_BY_PRIORITY)
-    master = "(?U)" + "|".join(f"({p})" for _, _, p in _BY_PRIORITY)
-    marked = F.regexp_replace(ascii_marks(c), master, "\u0003" + "\u0002".join(f"${k}" for k in range(1, count + 1)))
-    parts = F.filter(F.split(marked, "\u0003"), lambda x: F.contains(x, F.lit("\u0002")))
-    names = F.array(*(F.lit(n) for n, _, _ in _BY_PRIORITY))
-    token = lambda x: F.trim(F.translate(x, "\u0002", ""))
-    rule = lambda x: F.element_at(names, F.length(x) - F.length(F.ltrim(x, F.lit("\u0002"))) + 1)
-    return F.filter(F.transform(parts, lambda x: F.struct(token(x).alias("token"), rule(x).alias("rule"))), lambda t: t["token"] != "")
+    """``explain`` as a Column: array of (token, rule)."""
+    parts = F.filter(_marked(c), lambda x: F.contains(x, F.lit("\u0002")))
+    return F.filter(F.transform(parts, lambda x: F.struct(_token(x).alias("token"), _rule(x).alias("rule"))), lambda t: t["token"] != "")
+
+
+def rule_rows(units: DataFrame, *keep: str) -> DataFrame:
+    """One row a token: ``keep``, place, token, rule.  The parts are read as rows, where expressions compile."""
+    parts = units.select(*keep, F.posexplode(_marked(F.col("text"))).alias("place", "part")).where(F.contains("part", F.lit("\u0002")))
+    rows = parts.select(*keep, "place", _token(F.col("part")).alias("token"), _rule(F.col("part")).alias("rule"))
+    return rows.where("token != ''")
 
 
 #: A sign that was cut off, and what it belongs to: (token before, token).

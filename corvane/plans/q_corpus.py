@@ -403,7 +403,7 @@ def cm8_metric_table(spark, sf):
 
 @query("tk2_domain_tokens")
 def tk2_domain_tokens(spark, sf):
-    t = unit_rows(spark, sf).select(F.inline(typed.rule_tokens(F.col("text"))))
+    t = typed.rule_rows(unit_rows(spark, sf))
     per = t.groupBy("rule", "token").agg(F.count(F.lit(1)).alias("k"))
     return per.groupBy("rule").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("distinct_tokens"))
 

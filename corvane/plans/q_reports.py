@@ -301,7 +301,7 @@ def pj4_keys(spark, sf):
 @query("tk3_explain")
 def tk3_explain(spark, sf):
     """Each token with the rule that made it."""
-    return qs.unit_rows(spark, sf).select("unit_id", F.posexplode(typed.rule_tokens(F.col("text"))).alias("pos", "x")).select("unit_id", "pos", "x.token", "x.rule")
+    return typed.rule_rows(qs.unit_rows(spark, sf), "unit_id")
 
 
 @query("tk8_typed_components")

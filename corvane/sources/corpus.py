@@ -17,8 +17,22 @@ UNIT_SCHEMA = T.StructType(
 )
 
 
+#: Tables whose rows carry long texts.
+TEXTS = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out if its files give fewer splits than there are cores.
+
+    A file of one row group is one task however many cores wait.  Tables of many splits stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def numbered(df: DataFrame, *by: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from corvane.functions import morphology as mo
@@ -70,10 +72,17 @@ TYPED = [
 
 def test_rule_tokens_as_a_column(spark):
     docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    rows = list(enumerate(TYPED + docs))
+    rng = random.Random(3)
+    parts = ["Jan", "January", "2026", "rs", "Rs", "a", "B", "US", "$", "q", "Q1", "FY", "26", "word", "Word", "GDP", "é", ".", ",", "-", "/", "'s", " ", " ", " ", "  ", "%", "x1", "M", "per", "cent", "(", ")", ";", "e.g.", "crore"]
+    mixed = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 25))) for _ in range(1500)]
+    rows = list(enumerate(TYPED + docs + mixed))
     got = spark.createDataFrame(rows, "i int, t string").select("i", typed.rule_tokens(F.col("t")).alias("x")).collect()
     for r in got:
         assert [(x.token, x.rule) for x in r.x] == typed.explain(rows[r.i][1]), rows[r.i][1]
+    flat: dict = {}
+    for r in sorted(typed.rule_rows(spark.createDataFrame(rows, "i int, text string"), "i").collect(), key=lambda r: (r.i, r.place)):
+        flat.setdefault(r.i, []).append((r.token, r.rule))
+    assert flat == {i: x for i, t in rows if (x := typed.explain(t))}
 
 
 def test_rules_keep_their_expressions():
