@@ -35,12 +35,20 @@ def phrase_units(post: DataFrame, words: tuple[str, ...]) -> DataFrame:
     return starts.groupBy("unit_id", "start").agg(F.countDistinct("k").alias("n")).where(F.col("n") == len(words)).select("unit_id").distinct()
 
 
-def _flag(node, number: dict, has: Column) -> Column:
+#: Leaves whose flags share one integer.
+_BITS = 62
+
+
+def _flag(node, number: dict) -> Column:
+    """Whether a unit satisfies a tree, from the flags of its leaves."""
     if isinstance(node, ql.Term):
-        return F.array_contains(has, number[node]) if node.words else F.lit(False)
+        if not node.words:
+            return F.lit(False)
+        word, bit = divmod(number[node], _BITS)
+        return F.col(f"has{word}").bitwiseAND(F.lit(1 << bit)) != 0
     if isinstance(node, ql.Not):
-        return ~_flag(node.item, number, has)
-    left, right = _flag(node.left, number, has), _flag(node.right, number, has)
+        return ~_flag(node.item, number)
+    left, right = _flag(node.left, number), _flag(node.right, number)
     return left & right if isinstance(node, ql.And) else left | right
 
 
@@ -73,36 +81,53 @@ def search(
     known = _known(post, {w for words in extra.values() for w in words}) if extra else set()
     for q, words in extra.items():
         trees[q] = ql.Term((next((w for w in words if w in known), words[0]),))
-    single, phrased, wanted = [], [], []
+    phrased: list[tuple] = []
     numbers: dict[str, dict] = {}
+    terms: dict[tuple[str, str], list[int]] = {}  # of a query and a word: leaves as bits, whether it is scored
+    width = 1
     for q, tree in trees.items():
         leaves = list(dict.fromkeys(ql.leaves(tree)))
         numbers[q] = {leaf: n for n, leaf in enumerate(dict.fromkeys(leaf for leaf, _ in leaves))}
-        single += [(q, numbers[q][t], t.words[0]) for t in numbers[q] if len(t.words) == 1]
-        phrased += [(q, numbers[q][t], k, w, len(t.words)) for t in numbers[q] if len(t.words) > 1 for k, w in enumerate(t.words)]
-        wanted += {(q, w) for t, yes in leaves if yes for w in t.words} | {(q, w) for w in extra.get(q, [])}
-    used = sorted({w for *_, w in single} | {row[3] for row in phrased} | {w for _, w in wanted})
-    own = post.where(F.col("term").isin(used))  # reaches the scan
-    leaf_rows = own.join(F.broadcast(spark.createDataFrame(single or [("", 0, "\0")], "query_id string, leaf int, term string")), "term")
-    hits = leaf_rows.select("query_id", "unit_id", "leaf", F.lit(False).alias("phrase"))
+        width = max(width, -(-len(numbers[q]) // _BITS))
+        for leaf, n in numbers[q].items():
+            if len(leaf.words) == 1:
+                own = terms.setdefault((q, leaf.words[0]), [0, 0])
+                own[0] |= 1 << n
+            else:
+                phrased += [(q, n, k, w, len(leaf.words)) for k, w in enumerate(leaf.words)]
+        for w in [w for leaf, yes in leaves if yes for w in leaf.words] + extra.get(q, []):
+            terms.setdefault((q, w), [0, 0])[1] = 1
+    mask = (1 << _BITS) - 1
+    rows = [(q, w, scored, *((bits >> _BITS * i) & mask for i in range(width))) for (q, w), (bits, scored) in terms.items()]
+    has = [f"has{i}" for i in range(width)]
+    asked = F.broadcast(spark.createDataFrame(rows or [("", "\0", 0, *[0] * width)], "query_id string, term string, scored int, " + ", ".join(f"{h} bigint" for h in has)))
+    used = sorted({w for _, w in terms} | {row[3] for row in phrased})
+    post = post.where(F.col("term").isin(used))  # reaches the scan
+    # each posting meets the queries that ask for its term, once: leaves and scores come from one aggregation
+    met = post.join(asked, "term").select("query_id", "unit_id", "document_id", "scored", F.when(F.col("scored") == 1, F.col("tf")).otherwise(0).alias("tf"), F.lit(False).alias("phrase"), *has)
     if phrased:
         parts = F.broadcast(spark.createDataFrame(phrased, "query_id string, leaf int, k int, term string, width int"))
-        starts = own.join(parts, "term").select("query_id", "leaf", "width", "unit_id", "k", F.explode("positions").alias("p"))
-        met = starts.groupBy("query_id", "leaf", "width", "unit_id", (F.col("p") - F.col("k")).alias("start")).agg(F.countDistinct("k").alias("n"))
-        hits = hits.unionByName(met.where("n = width").select("query_id", "unit_id", "leaf", F.lit(True).alias("phrase")).distinct())
-    # leaves of phrases that hold, and what of the wanted words the unit has
-    gathered = hits.groupBy("query_id", "unit_id").agg(F.collect_set("leaf").alias("has"), F.bool_or("phrase").alias("any_phrase"))
-    keep = reduce(lambda a, q: a | ((F.col("query_id") == q) & _flag(trees[q], numbers[q], F.col("has"))), trees, F.lit(False))
-    wanted_rows = F.broadcast(spark.createDataFrame(wanted or [("", "\0")], "query_id string, term string"))
-    matched = own.join(wanted_rows, "term").groupBy("query_id", "unit_id", "document_id").agg(
-        F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("total_tf"), F.sort_array(F.collect_list("term")).alias("matched")
+        starts = post.join(parts, "term").select("query_id", "leaf", "width", "unit_id", "document_id", "k", F.explode("positions").alias("p"))
+        # the places of a phrase's words: one bit each, all set where the phrase stands
+        places = starts.groupBy("query_id", "leaf", "width", "unit_id", "document_id", (F.col("p") - F.col("k")).alias("start")).agg(
+            # phrases of more words than a number has bits are counted
+            (F.bit_count(F.bit_or(F.expr("shiftleft(1L, k)"))) if max(row[4] for row in phrased) <= _BITS else F.countDistinct("k")).alias("n")
+        )
+        whole = places.where("n = width")
+        flags = [F.when(F.floor(F.col("leaf") / _BITS) == i, F.expr(f"shiftleft(1L, leaf % {_BITS})")).otherwise(F.lit(0)).alias(h) for i, h in enumerate(has)]
+        met = met.unionByName(whole.select("query_id", "unit_id", "document_id", F.lit(0).alias("scored"), F.lit(0).alias("tf"), F.lit(True).alias("phrase"), *flags))
+    gathered = met.groupBy("query_id", "unit_id", "document_id").agg(
+        F.sum("scored").alias("n_terms"), F.sum("tf").alias("total_tf"), F.bool_or("phrase").alias("any_phrase"), *(F.bit_or(h).alias(h) for h in has)
     )
+    keep = reduce(lambda a, q: a | ((F.col("query_id") == q) & _flag(trees[q], numbers[q])), trees, F.lit(False))
     # a phrase that only stands under NOT can't hold in a unit that is kept, so any phrase is a wanted one
-    found = gathered.where(keep).join(matched, ["query_id", "unit_id"])
-    scored = found.withColumn("score", score(F.col("n_terms"), F.col("any_phrase"), F.col("total_tf")))
+    scored = gathered.where(keep & (F.col("n_terms") > 0)).withColumn("score", score(F.col("n_terms"), F.col("any_phrase"), F.col("total_tf")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id"))
     top = scored.withColumn("rank", rank).where(F.col("rank") <= max_hits)
-    return top.select(
+    # the words of what is returned only
+    own = post.join(asked.where("scored = 1").select("query_id", "term"), "term").select("query_id", "unit_id", "term")
+    named = top.join(own, ["query_id", "unit_id"]).groupBy("query_id", "rank", "score", "unit_id", "document_id", "n_terms", "total_tf", "any_phrase").agg(F.sort_array(F.collect_list("term")).alias("matched"))
+    return named.select(
         "query_id", "rank", "score", "unit_id", "document_id", "n_terms", "total_tf",
         F.col("any_phrase").alias("phrase_match"), F.array_join("matched", ";").alias("matched_terms"),
     )

@@ -11,6 +11,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +64,16 @@ def release(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Deletes at its end the scratch tables written within, but for those put into the list it gives."""
+    before, kept = set(_live), []
+    yield kept
+    own = {getattr(t, "_corvane_path", None) for t in kept}
+    for path in [p for p in _live if p not in before and p not in own]:
+        _delete(_live.pop(path), path)
+
+
 @atexit.register
 def _release_all() -> None:
     for path, spark in list(_live.items()):

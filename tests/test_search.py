@@ -76,3 +76,12 @@ def test_terms_that_cover_a_share(spark):
         while run < sum(counts) * share:
             run, want = run + counts[want], want + 1
         assert ix.coverage_terms(d, share).first()[0] == want, share
+
+
+def test_long_phrases_and_many_leaves(spark):
+    words = [f"w{i}" for i in range(70)]
+    units = spark.createDataFrame([("u1", "d1", " ".join(words)), ("u2", "d2", " ".join(words[:69])), ("u3", "d3", " ".join(reversed(words)))], "unit_id string, document_id string, text string")
+    own = ix.postings(ix.tokens(units)).persist()
+    assert found(own, '"' + " ".join(words) + '"') == {"u1"}
+    assert found(own, " AND ".join(words)) == {"u1", "u3"}
+    assert found(own, " OR ".join(words) + " AND NOT w69") == {"u1", "u2", "u3"}
