@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
+from corvane.llm.common import documents
 from corvane.llm.registry import vocabulary
-from corvane.plans.scratch import materialize
+from corvane.plans.scratch import materialize, release, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+        if at == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        # what a stage wrote on its way goes once its result stands, and so does the table it read
+        with scope() as kept:
+            after = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(after)
+        release(docs)
+        docs = after
