@@ -99,3 +99,14 @@ def test_sql(spark, name):
         con.execute(f"create or replace view documents as select * from {table}")
         got = {"op7_secrets": registry.scan_secrets, "op9_exact": exact_dedup.classes}[name](docs)
         assert key(got.collect()) == key(con.execute(f"select {', '.join(got.columns)} from ({registry.oracle_sql()[name]})").fetchall())
+
+
+def test_run_leaves_one_table_behind(spark):
+    """Each stage's scratch goes once the next table stands; the rows are those of the stages."""
+    from corvane.plans import scratch
+
+    before = set(scratch._live)
+    got = corpus_pipeline.run(spark, SF)
+    left = [p for p in scratch._live if p not in before]
+    assert sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in left) == ["stage-mix", "words"]
+    assert got.count() == spark.read.parquet(next(p for p in left if "stage-mix" in p)).count()
