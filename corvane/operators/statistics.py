@@ -66,33 +66,31 @@ def function_ratio(ngram: Column, words: tuple[str, ...] = STOPWORDS) -> Column:
     return F.size(F.filter(parts, lambda w: w.isin(*words))) / F.size(parts)
 
 
-def ngram_rows(counts: DataFrame, n: int) -> DataFrame:
+def ngram_rows(counts: DataFrame, n: int, domain: tuple[str, ...] = ()) -> DataFrame:
+    """N-grams with their flags; ``domain`` are the words that make an n-gram one of the domain."""
     ratio = function_ratio(F.col("ngram"))
+    of_domain = F.arrays_overlap(F.split("ngram", " "), F.array(*map(F.lit, domain))) if domain else F.lit(False)
     return counts.select(
         "ngram", F.lit(n).cast("long").alias("n"), "freq", "units", F.round(ratio, 4).alias("function_ratio"),
-        (ratio < 0.85).alias("has_content"), (F.col("freq") > 1).alias("repeated"),
+        (ratio < 0.85).alias("has_content"), (F.col("freq") > 1).alias("repeated"), of_domain.alias("has_domain"),
     )
 
 
-def ngram_rows_of(units: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+def ngram_rows_of(units: DataFrame, sizes: tuple[int, ...], domain: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the n-grams of each size, those that occur once among them."""
-    return reduce(DataFrame.unionByName, [ngram_rows(ngram_counts(units, n), n) for n in sizes])
+    return reduce(DataFrame.unionByName, [ngram_rows(ngram_counts(units, n), n, domain) for n in sizes])
 
 
 def ngram_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("n").agg(F.sum("freq").alias("total"), F.count(F.lit(1)).alias("unique_ngrams"), F.count_if(F.col("freq") == 1).alias("singletons"))
 
 
-def ranked_phrases(rows: DataFrame, least: int = 5, least_units: int = 3, most_function: float = 0.85, k: int = 1200) -> DataFrame:
-    """The first ``k`` of the rows of all sizes together."""
-    good = (F.col("freq") >= least) & (F.col("units") >= least_units) & (F.col("function_ratio") < most_function)
+def ranked_phrases(rows: DataFrame, least: int = 5, least_units: int = 3, most_function: float = 0.85, k: int = 1200, of_domain: bool = False) -> DataFrame:
+    """The first ``k`` of the rows of all sizes together; with ``of_domain`` only those that hold a word of the domain."""
+    good = (F.col("freq") >= least) & (F.col("units") >= least_units) & (F.col("function_ratio") < most_function) & (F.col("has_domain") | F.lit(not of_domain))
     return rows.where(good).orderBy(F.desc("freq"), F.desc("n"), "ngram").limit(k)
 
 
-def mined_phrases(counts: DataFrame, n: int, least: int = 5, least_units: int = 3, most_function: float = 0.85, k: int = 1200) -> DataFrame:
-    return ranked_phrases(ngram_rows(counts, n), least, least_units, most_function, k)
-
-
 def furniture(lines: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
     """Lines found in at least max(``least``, share of the documents) of a source, once a document."""
     pages = lines.groupBy("source_id").agg(F.countDistinct("document_id").alias("n"))

@@ -11,8 +11,8 @@ from corvane.functions import typed
 from corvane.operators import annotate as an
 from corvane.operators import index as ix
 from corvane.operators import statistics as st
-from corvane.plans.q_search import posting_rows, term_rows, unit_rows
-from corvane.plans.queries import POSTINGS, TERMS, TOKENS, UNITS, query
+from corvane.plans.q_search import term_rows, unit_rows
+from corvane.plans.queries import TERMS, TOKENS, UNITS, query
 from corvane.sources.corpus import numbered, page_sections, table, turns
 
 STOP = "(" + ", ".join(f"'{w}'" for w in tk.STOPWORDS) + ")"
@@ -196,17 +196,6 @@ def ag15_overview(spark, sf):
     return unit_rows(spark, sf).groupBy("source_id", "lang", "unit_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "ag17_stopword_effect",
-    f"""WITH {TOKENS} SELECT count(*) AS before, count(*) FILTER (term NOT IN {STOP}) AS after,
-    round((count(*) - count(*) FILTER (term NOT IN {STOP})) * 100.0 / count(*), 2) AS reduction, count(DISTINCT term) FILTER (term IN {STOP}) AS removed_terms FROM tokens""",
-)
-def ag17_stopword_effect(spark, sf):
-    stop = F.col("term").isin(*tk.STOPWORDS)
-    n, k = F.count(F.lit(1)), F.count_if(~stop)
-    return toks(spark, sf).agg(n.alias("before"), k.alias("after"), tx.percent_reduction(n, k).alias("reduction"), F.countDistinct(F.when(stop, F.col("term"))).alias("removed_terms"))
-
-
 @query(
     "ag20_rollup",
     """SELECT coalesce(c, 'TOTAL') AS category, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, '^(19|20)[0-9]{2}$') THEN 'year' WHEN regexp_matches(t, '%') THEN 'percentage'
@@ -218,6 +207,36 @@ def ag20_rollup(spark, sf):
     return t.select(kind.alias("c")).rollup("c").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("c", F.lit("TOTAL")).alias("category"), "n")
 
 
+#: Stopword lists: none, the ordinary one, and the ordinary one that protects some words and has some more.
+STRATEGIES = {"none": (), "standard": tk.STOPWORDS, "domain_aware": tuple(sorted((set(tk.STOPWORDS) - {"not", "no", "ne"}) | {"th", "per"}))}
+
+
+def _strategy_sql(name: str, words) -> str:
+    held = f"term IN ({', '.join(repr(w) for w in words)})" if words else "false"
+    return (
+        f"SELECT '{name}' AS strategy, count(*) AS before, count(*) FILTER (NOT {held}) AS after, count(DISTINCT term) AS types_before, count(DISTINCT term) FILTER (NOT {held}) AS types_after, "
+        f"round((count(*) - count(*) FILTER (NOT {held})) * 100.0 / count(*), 2) AS reduction, count(DISTINCT term) FILTER ({held}) AS removed_terms, "
+        f"coalesce(arg_max(term, n * 1.0) FILTER ({held}), '') AS most_removed FROM (SELECT term, count(*) OVER (PARTITION BY term) AS n FROM tokens)"
+    )
+
+
+@query("ag17_stopword_strategies", f"WITH {TOKENS} " + " UNION ALL ".join(_strategy_sql(n, w) for n, w in STRATEGIES.items()))
+def ag17_stopword_strategies(spark, sf):
+    """What each stopword list takes away; types are counted by grouping once."""
+    types = ix.token_arrays(unit_rows(spark, sf)).select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for name, words in STRATEGIES.items():
+        held = F.col("term").isin(*words) if words else F.lit(False)
+        n = F.col("n")
+        total, after = F.sum(n), F.sum(F.when(~held, n).otherwise(0))
+        row = types.agg(
+            F.lit(name).alias("strategy"), total.alias("before"), after.alias("after"), F.count(F.lit(1)).alias("types_before"), F.count_if(~held).alias("types_after"),
+            tx.percent_reduction(total, after).alias("reduction"), F.count_if(held).alias("removed_terms"), F.coalesce(F.max_by(F.when(held, F.col("term")), F.when(held, n)), F.lit("")).alias("most_removed"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- n-grams
 
 
@@ -228,7 +247,9 @@ def _grams(n: int) -> str:
     f AS (SELECT *, len(list_filter(string_split(ngram, ' '), lambda w: w IN {STOP})) / CAST({n} AS DOUBLE) AS ratio FROM c)"""
 
 
-_ROWS = "SELECT ngram, CAST({n} AS BIGINT) AS n, freq, units, round(ratio, 4) AS function_ratio, ratio < 0.85 AS has_content, freq > 1 AS repeated FROM f"
+#: Words that make an n-gram one of the domain, in this corpus of invented words.
+DOMAIN = ("th", "er", "tion", "nd", "ha", "les", "der")
+_ROWS = "SELECT ngram, CAST({n} AS BIGINT) AS n, freq, units, round(ratio, 4) AS function_ratio, ratio < 0.85 AS has_content, freq > 1 AS repeated, list_has_any(string_split(ngram, ' '), [" + ", ".join(f"'{w}'" for w in DOMAIN) + "]) AS has_domain FROM f"
 _SUMMARY = "SELECT CAST({n} AS BIGINT) AS n, CAST(sum(freq) AS BIGINT) AS total, count(*) AS unique_ngrams, count(*) FILTER (freq = 1) AS singletons FROM c"
 
 
@@ -247,17 +268,17 @@ def ng2_ngrams(spark, sf):
 
 @query("ng3_rows", _each(_ROWS, range(1, 6)))
 def ng3_rows(spark, sf):
-    return st.ngram_rows_of(unit_rows(spark, sf), (1, 2, 3, 4, 5))
+    return st.ngram_rows_of(unit_rows(spark, sf), (1, 2, 3, 4, 5), DOMAIN)
 
 
 @query("ng4_summary", _each(_SUMMARY, range(1, 6)))
 def ng4_summary(spark, sf):
-    return st.ngram_summary(st.ngram_rows_of(unit_rows(spark, sf), (1, 2, 3, 4, 5)))
+    return st.ngram_summary(st.ngram_rows_of(unit_rows(spark, sf), (1, 2, 3, 4, 5), DOMAIN))
 
 
-@query("ng5_mined", f"SELECT * FROM ({_each(_ROWS, (2, 3, 4))}) WHERE freq >= 5 AND units >= 3 AND function_ratio < 0.85 ORDER BY freq DESC, n DESC, ngram LIMIT 1200")
+@query("ng5_mined", f"SELECT * FROM ({_each(_ROWS, (2, 3, 4))}) WHERE freq >= 5 AND units >= 3 AND function_ratio < 0.85 AND has_domain ORDER BY freq DESC, n DESC, ngram LIMIT 1200")
 def ng5_mined(spark, sf):
-    return st.ranked_phrases(st.ngram_rows_of(unit_rows(spark, sf), (2, 3, 4)))
+    return st.ranked_phrases(st.ngram_rows_of(unit_rows(spark, sf), (2, 3, 4), DOMAIN), of_domain=True)
 
 
 @query(

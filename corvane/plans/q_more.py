@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions import tokens as tk
-from corvane.functions import snippets, typed
+from corvane.functions import snippets
 from corvane.operators import annotate as an
 from corvane.operators import evaluation as ev
-from corvane.operators import index as ix
 from corvane.operators import statistics as st
 from corvane.plans import q_corpus as qc
 from corvane.plans import q_search as qs
-from corvane.plans.queries import POSTINGS, TERMS, TOKENS, UNITS, query
+from corvane.plans.queries import TERMS, TOKENS, query
 from corvane.sources.corpus import table
 from corvane.streaming import index_stream
 
@@ -30,29 +29,6 @@ def ag16_labels(spark, sf):
     return table(spark, sf, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
 
 
-_PATTERNS = {"words": tk.WORDS, "simple": tk.SIMPLE, "baseline": tk.BASELINE}
-
-
-@query(
-    "ag18_tokenizer_metrics",
-    " UNION ALL ".join(
-        f"SELECT '{n}' AS tokenizer, count(*) AS tokens, count(DISTINCT t) AS distinct_tokens, count(*) FILTER (regexp_matches(t, '[0-9]')) AS with_digit, round(avg(length(t)), 4) AS mean_length "
-        f"FROM (SELECT unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS t FROM documents)"
-        for n, p in _PATTERNS.items()
-    ),
-)
-def ag18_tokenizer_metrics(spark, sf):
-    out = None
-    for n, p in _PATTERNS.items():
-        t = qc.docs(spark, sf).select(F.explode(tk.tokenize(F.col("text"), p, False)).alias("t"))
-        row = t.agg(
-            F.lit(n).alias("tokenizer"), F.count(F.lit(1)).alias("tokens"), F.countDistinct("t").alias("distinct_tokens"),
-            F.count_if(F.col("t").rlike("[0-9]")).alias("with_digit"), F.round(F.avg(F.length("t")), 4).alias("mean_length"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 @query(
     "ag19_stages",
     f"""WITH {TOKENS}, s AS (SELECT 1 AS stage, count(*) AS tokens FROM tokens UNION ALL SELECT 2, count(*) FILTER (regexp_matches(term, '\\p{{L}}')) FROM tokens
@@ -121,17 +97,6 @@ def rp18_result_summary(spark, sf):
     return qs.ix17_query_set(spark, sf).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.round(top, 4).alias("top10_score_sum"), F.max("score").alias("best"))
 
 
-@query(
-    "rp5_strided_examples",
-    f"WITH {UNITS}, c AS (SELECT unit_id, row_number() OVER (PARTITION BY source_id ORDER BY unit_id) AS r FROM units WHERE length(text) BETWEEN 40 AND 400) SELECT unit_id FROM c WHERE r % 50 = 1",
-)
-def rp5_strided_examples(spark, sf):
-    from pyspark.sql import Window
-
-    u = qs.unit_rows(spark, sf).where(F.length("text").between(40, 400))
-    return u.withColumn("r", F.row_number().over(Window.partitionBy("source_id").orderBy("unit_id"))).where("r % 50 = 1").select("unit_id")
-
-
 @query("rp7_substring_counts", "SELECT e AS expression, CAST(sum(len(regexp_extract_all(text, e))) AS BIGINT) AS n FROM documents, (VALUES ('the'), ('tion'), ('555')) v(e) GROUP BY 1")
 def rp7_substring_counts(spark, sf):
     d, found = qc.docs(spark, sf), ["the", "tion", "555"]
@@ -161,19 +126,6 @@ def ex_sessions(spark, sf):
     return index_stream.sessions(table(spark, sf, "events"))
 
 
-@query("ix15_snippets")
-def ix15_snippets(spark, sf):
-    """Snippets of the capped hits; texts are joined after the cap, so the function sees only these."""
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, terms: pd.Series) -> pd.Series:
-        return pd.Series([snippets.snippet(t, w.split(";")) for t, w in zip(text, terms)])
-
-    hits = qs.ix17_query_set(spark, sf).select("query_id", "rank", "unit_id", "matched_terms")
-    texts = qs.unit_rows(spark, sf).select("unit_id", "text")
-    return hits.join(texts, "unit_id").select("query_id", "rank", "unit_id", cut("text", "matched_terms").alias("snippet"))
-
-
 @query("tk4_treebank")
 def tk4_treebank(spark, sf):
     @F.pandas_udf("array<string>")
@@ -193,17 +145,6 @@ def pj8_chunks(spark, sf):
     return qc.docs(spark, sf).select("doc_id", F.posexplode(split("text")).alias("chunk", "span")).select("doc_id", "chunk", "span.start", "span.end")
 
 
-@query("mo6_lemma_comparison")
-def mo6_lemma_comparison(spark, sf):
-    """Distinct terms left by each method, and the reduction against none."""
-    words = qc.toks(spark, sf).select("term").distinct().where(F.col("term").rlike("^[a-z]+$")).persist()
-    out = None
-    for name, f in an.morphology.STEMMERS.items():
-        row = an.map_vocabulary(words, f, "x").agg(F.lit(name).alias("method"), F.count(F.lit(1)).alias("before"), F.countDistinct("x").alias("after"))
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("reduction", tx.percent_reduction(F.col("before"), F.col("after")))
-
-
 @query(
     "st9_low_text",
     "SELECT doc_id, CASE WHEN n_chars < 60 AND w < 15 THEN 'scanned' WHEN n_chars < 120 OR w < 20 THEN 'low' ELSE 'ok' END AS status FROM (SELECT doc_id, n_chars, len(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) AS w FROM documents)",

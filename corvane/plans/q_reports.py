@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import morphology, typed
+from corvane.functions import morphology, snippets, typed
 from corvane.functions import text as tx
 from corvane.functions import tokens as tk
 from corvane.operators import annotate as an
 from corvane.operators import evaluation as ev
 from corvane.operators import layout as la
+from corvane.operators import query_language as ql
 from corvane.operators import search as se
-from corvane.operators import statistics as st
 from corvane.operators import tags as tg
 from corvane.plans import q_corpus as qc
 from corvane.plans import q_search as qs
-from corvane.plans import q_tables as qt
 from corvane.plans.queries import POSTINGS, TERMS, TOKENS, UNITS, query
 from corvane.sources.corpus import numbered, registry, structured, table
 
@@ -649,3 +649,86 @@ def rp16_list_forms(spark, sf):
     hits = se.search(qs.posting_rows(spark, sf), forms, max_hits=1 << 30)
     n = hits.groupBy(F.col("query_id").alias("form")).agg(F.count(F.lit(1)).alias("n"))
     return spark.createDataFrame([(f,) for f in forms], "form string").join(n, "form", "left").select("form", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# --- measures of tokenizers, snippets, lemmas
+
+_CLASS_LONG = ", ".join(f"CAST(coalesce(sum(n) FILTER ({c}), 0) AS BIGINT) AS {k}_tokens" for k, c in qs._CLASS_SQL.items())
+
+
+@query(
+    "ag18_tokenizer_metrics",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS tokenizer, CAST(sum(n) AS BIGINT) AS total_tokens, count(*) AS unique_tokens, count(DISTINCT CASE WHEN regexp_matches(t, '\\p{{L}}') THEN lower(t) END) AS vocabulary_size, "
+        f"round(sum(n) / CAST((SELECT count(*) FROM documents) AS DOUBLE), 2) AS avg_tokens_per_document, {_CLASS_LONG} FROM (SELECT t, count(*) AS n FROM ({_raw_sql(n)}) GROUP BY 1)"
+        for n in _RAW_TOKENS
+    ),
+)
+def ag18_tokenizer_metrics(spark, sf):
+    """The measures of each tokenizer; classes are tested once for each different token."""
+    d, out = qc.docs(spark, sf), None
+    documents = d.agg(F.count(F.lit(1)).alias("documents"))
+    own = tk.classes(F.col("t"))
+    for name, pattern in _RAW_TOKENS.items():
+        types = d.select(F.explode(tk.tokenize(F.col("text"), pattern, False)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+        flagged = types.select("n", F.when(F.col("t").rlike(r"\p{L}"), F.lower("t")).alias("low"), *(F.when(own[c], F.col("n")).otherwise(0).alias(c) for c in tk.CLASSES))
+        per = flagged.groupBy("low").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), *(F.sum(c).alias(c) for c in tk.CLASSES))
+        row = per.agg(F.lit(name).alias("tokenizer"), F.sum("n").alias("total_tokens"), F.sum("k").alias("unique_tokens"), F.count("low").alias("vocabulary_size"), *(F.sum(c).alias(f"{c}_tokens") for c in tk.CLASSES))
+        out = row if out is None else out.unionByName(row)
+    rows = out.crossJoin(documents)
+    return rows.withColumn("avg_tokens_per_document", F.round(F.col("total_tokens") / F.col("documents"), 2)).drop("documents")
+
+
+@query("ag20_survival")
+def ag20_survival(spark, sf):
+    """Expressions by category and in all, and how many a plain tokenizer leaves in one piece."""
+    u = qs.unit_rows(spark, sf).where(F.col("text").rlike("[0-9]")).select("unit_id", "text")
+    spans = u.select("unit_id", F.inline(an.expression_spans(F.col("text")))).select("unit_id", "category", F.col("text").alias("token"))
+    tokens = u.select("unit_id", F.explode(tk.tokenize(F.col("text"), tk.SIMPLE, False)).alias("token")).distinct().withColumn("x", F.lit(1))
+    joined = spans.join(tokens, ["unit_id", "token"], "left")
+    rows = joined.rollup("category").agg(F.count(F.lit(1)).alias("detected"), F.count("x").alias("intact"))
+    return rows.select(F.coalesce("category", F.lit("TOTAL")).alias("category"), "detected", "intact", F.round(F.col("intact") * 100.0 / F.col("detected"), 2).alias("percent"))
+
+
+@query(
+    "rp5_strided_examples",
+    f"WITH {UNITS}, c AS (SELECT unit_id, row_number() OVER (PARTITION BY source_id ORDER BY unit_id) AS r FROM units WHERE length(text) BETWEEN 40 AND 400) SELECT unit_id FROM c WHERE r % 50 = 1",
+)
+def rp5_strided_examples(spark, sf):
+    """Every fiftieth unit of a source: numbered over key ranges, so that a large source is many tasks."""
+    u = qs.unit_rows(spark, sf).where(F.length("text").between(40, 400)).select("source_id", "unit_id")
+    rows = numbered(u, "source_id", "unit_id")
+    first = rows.groupBy("source_id").agg(F.min("number").alias("first")).withColumnRenamed("source_id", "s")
+    placed = rows.join(F.broadcast(first), F.col("source_id").eqNullSafe(F.col("s")))  # one row a source
+    return placed.where((F.col("number") - F.col("first")) % 50 == 0).select("unit_id")
+
+
+@query("ix15_snippets")
+def ix15_snippets(spark, sf):
+    """Snippets of the capped hits, around the phrase where the query has one; texts are joined after the cap."""
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, terms: pd.Series, phrase: pd.Series) -> pd.Series:
+        return pd.Series([snippets.snippet(t, w.split(";"), p) for t, w, p in zip(text, terms, phrase)])
+
+    asked = [(q, next((" ".join(leaf.words) for leaf, yes in ql.leaves(ql.parse(t)) if yes and len(leaf.words) > 1), "")) for q, t in qs.QUERY_SET.items()]
+    hits = qs.ix17_query_set(spark, sf).select("query_id", "rank", "unit_id", "matched_terms").join(F.broadcast(spark.createDataFrame(asked, "query_id string, phrase string")), "query_id")
+    texts = qs.index_units(spark, sf).select("unit_id", "text")
+    return hits.join(texts, "unit_id").select("query_id", "rank", "unit_id", cut("text", "matched_terms", "phrase").alias("snippet"))
+
+
+@query("mo6_lemma_comparison")
+def mo6_lemma_comparison(spark, sf):
+    """Distinct terms that each way to lemmatise leaves, against none: by table, by its verbs only, by rules, by a light stemmer."""
+    words = qs.term_rows(spark, sf).select("term").where(F.col("term").rlike("^[a-z]+$"))
+    t = spark.createDataFrame(_LEMMAS, "form string, lemma string, tag string")
+    methods = {
+        "table": tg.lookup_lemmas(words, t), "table_of_verbs": tg.lookup_lemmas(words, t, ("VERB",)), "rules": an.map_vocabulary(words, morphology.lemma, "lemma"),
+        "light": an.map_vocabulary(words, morphology.light, "lemma"),
+    }
+    out = None
+    for name, rows in methods.items():
+        per = rows.groupBy("lemma").agg(F.count(F.lit(1)).alias("k"))
+        row = per.agg(F.lit(name).alias("method"), F.sum("k").alias("before"), F.count(F.lit(1)).alias("after"))
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("reduction", tx.percent_reduction(F.col("before"), F.col("after")))

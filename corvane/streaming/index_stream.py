@@ -42,10 +42,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 
 
 def register_sql(spark: SparkSession) -> None:
-    """``tokenize(text)`` as a table function and ``porter(word)`` as a scalar function for SQL."""
+    """For SQL: the table function ``tokenize(text)``; ``expressions(text)`` and ``hybrid_tokens(text)`` as arrays; ``lemma(word)`` and a function for each stemmer."""
     from pyspark.sql.functions import pandas_udf, udtf
 
-    from corvane.functions import morphology, typed
+    from corvane.functions import morphology, snippets, typed
 
     @udtf(returnType="pos int, token string, rule string")
     class Tokenize:
@@ -53,9 +53,24 @@ def register_sql(spark: SparkSession) -> None:
             for pos, (token, rule) in enumerate(typed.explain(text or "")):
                 yield pos, token, rule
 
-    @pandas_udf("string")
-    def porter(s: pd.Series) -> pd.Series:
-        return s.map(morphology.porter)
+    def of_words(function):
+        @pandas_udf("string")
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(lambda w: None if w is None else function(w))
+
+        return run
+
+    @pandas_udf("array<struct<category:string,text:string,start:int,end:int>>")
+    def expressions(s: pd.Series) -> pd.Series:
+        keys = ("category", "text", "start", "end")
+        return s.map(lambda t: [dict(zip(keys, e)) for e in typed.expressions(t or "")])
+
+    @pandas_udf("array<string>")
+    def hybrid(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: typed.hybrid(t or "", snippets.treebank))
 
     spark.udtf.register("tokenize", Tokenize)
-    spark.udf.register("porter", porter)
+    spark.udf.register("expressions", expressions)
+    spark.udf.register("hybrid_tokens", hybrid)
+    for name, function in morphology.STEMMERS.items():
+        spark.udf.register(name, of_words(function))

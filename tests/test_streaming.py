@@ -29,3 +29,6 @@ def test_sql_functions(spark):
     index_stream.register_sql(spark)
     assert [r.token for r in spark.sql("SELECT * FROM tokenize('GDP rose 7.4%')").collect()] == ["GDP", "rose", "7.4%"]
     assert spark.sql("SELECT porter('hopping') AS s").first().s == "hop"
+    assert tuple(spark.sql("SELECT snowball('skies'), lancaster('maximum'), lemma('cities'), porter(NULL)").first()) == ("sky", "maxim", "city", None)
+    assert [(e.category, e.text) for e in spark.sql("SELECT expressions('up 7.4% in 2025') AS e").first().e] == [("percentage", "7.4%"), ("year", "2025")]
+    assert spark.sql("SELECT hybrid_tokens('up 7.4 per cent now') AS t").first().t == ["up", "7.4 per cent", "now"]
