@@ -627,14 +627,14 @@ def rp25_sources(spark, sf):
 
 @query(
     "rp22_typed",
-    "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, try_cast(event_type AS BIGINT) AS type_number, try_cast(CAST(value AS VARCHAR) AS DOUBLE) AS value, list_filter(string_split(event_type || ';a; ;b', ';'), lambda x: trim(x) <> '') AS parts FROM events",
+    "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, try_cast(event_type AS BIGINT) AS type_number, try_cast(CAST(value AS VARCHAR) AS DOUBLE) AS value, array_to_string(list_filter(string_split(event_type || ';a; ;b', ';'), lambda x: trim(x) <> ''), '|') AS parts FROM events",
 )
 def rp22_typed(spark, sf):
     """Text columns read with tolerant types: what does not parse is null."""
     e = table(spark, sf, "events")
     return e.select(
         "event_id", tx.as_int(F.get_json_object("props", "$.k")).alias("k"), tx.as_int(F.col("event_type")).alias("type_number"), tx.as_float(F.col("value").cast("string")).alias("value"),
-        tx.split_list(F.concat("event_type", F.lit(";a; ;b"))).alias("parts"),
+        F.array_join(tx.split_list(F.concat("event_type", F.lit(";a; ;b"))), "|").alias("parts"),
     )
 
 
