@@ -31,7 +31,6 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corvane.llm.common import shuffle_width, tidied
 from corvane.llm.pretokens import splitter

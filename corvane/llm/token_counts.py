@@ -6,8 +6,8 @@ it directly and run the merges only for the rest, each once while it stays in th
 at most ``MEMORY_WORDS`` words (emptied when full, so its size never follows the input).
 
 One narrow pass without shuffle.  Cases: a null or empty text has 0 tokens; texts are whole whatever
-their length; an empty table gives an empty result; repeated rows are counted each on its own; other
-columns are not read.
+their length; null ids stay; repeated rows are counted each on its own; an empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
