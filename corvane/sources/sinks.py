@@ -50,14 +50,14 @@ def upsert_judgments(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def save_index(spark: SparkSession, path: str, postings: DataFrame, units: DataFrame, about: dict) -> None:
-    """Postings range-partitioned and sorted by term, so that a lookup prunes files and row groups.
+    """Postings range-partitioned and sorted by term and unit, so that a lookup prunes files and row groups.
 
-    They are computed once: the ranges, the files and the terms all come from one written table.
+    A term of many units lies in several ranges.  The postings are computed once: the ranges, the files and the terms all come from one written table.
     """
     from corvane.operators.index import terms
 
     once = materialize(postings, "postings")
-    once.repartitionByRange("term").sortWithinPartitions("term", "unit_id").write.mode("overwrite").parquet(f"{path}/postings")
+    once.repartitionByRange("term", "unit_id").sortWithinPartitions("term", "unit_id").write.mode("overwrite").parquet(f"{path}/postings")
     terms(once).write.mode("overwrite").parquet(f"{path}/terms")
     release(once)
     units.write.mode("overwrite").parquet(f"{path}/units")
