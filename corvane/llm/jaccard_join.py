@@ -10,12 +10,14 @@ Runs repeat until 1 - (1 - s)^runs reaches the target recall at s = 0.8.  Bucket
 bucket is compared, and who is close enough joins; members that are all alike cost one comparison
 and one edge each.
 
-A larger bucket first meets one of its members, its pivot: one row joins each member, no pairs.
-Members near the pivot (``ALIKE``) get an edge to it and leave the bucket; members less near
+A larger bucket first meets its pivots: in a sample of ``SAMPLE`` members, the leaders of the groups
+that hold at least ``SHARE`` of it.  Each member is held against these few pivots where it stands, no
+pairs.  Members near a pivot (``ALIKE``) get an edge to it and leave the bucket; members less near
 (``LOOSE``) get an edge and stay, so whoever is linked to a member that left is tied to the same
-pivot.  If the pivot took fewer than ``SHARE`` of a bucket, the rest is unlike and is split by
-further sampled tokens, ``BRANCHES`` of them; else it meets the next pivot.  So alike buckets shrink
-by a share each round and unlike ones fall apart, and neither multiplies with its size.
+pivot.  A bucket without such groups is unlike and is split by further sampled tokens, ``BRANCHES`` of
+them.  After ``DEPTH`` such steps, whatever their outcome, what is still large is searched by brute
+force in pairs of blocks of ``SMALL`` members, packed into one row each.  So the number of steps does
+not depend on the data.
 
 The edges give candidate components.  Inside a component exact similarities are counted from the
 shingles themselves: components of up to ``BLOCK`` nodes in one place, larger ones in blocks of about
@@ -49,7 +51,7 @@ from corvane.llm.components import components
 from corvane.plans.scratch import materialize, release
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
-#: Members of a bucket that is searched by brute force; tokens an unlike bucket is split by; splits at most.
+#: Members of a bucket that is searched by brute force; tokens an unlike bucket is split by; steps at most.
 SMALL, BRANCHES, DEPTH = 2048, 3, 4
 #: Nodes of a block and bytes of its shingles, one node at least.
 BLOCK, BLOCK_BYTES = 1024, 24 << 20
@@ -59,8 +61,8 @@ BITS = 64 * WORDS64
 _MEAN = (1 + SIMILARITY) / 2
 CLOSE = math.floor(BITS * _MEAN - 4 * math.sqrt(BITS * _MEAN * (1 - _MEAN)))
 #: Estimated similarity to a pivot from which a member leaves the bucket, from which it gets an edge, and
-#: the share of a bucket that must leave for another pivot to be taken.
-ALIKE, LOOSE, SHARE = 0.65, 0.45, 0.15
+#: the share of the sample that must leave for a pivot to be taken; members of a sample, on average.
+ALIKE, LOOSE, SHARE, SAMPLE = 0.65, 0.45, 0.15, 64
 MEMORY_WORDS = 200_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -171,7 +173,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not len(several):
             continue
         nid, sizes = table.column("nid").to_numpy(), table.column("size").to_numpy()
-        sketches = np.stack([table.column(c).to_numpy().view(np.uint64) for c in _SKETCH], 1)
+        sketches = _sketches(table)
         found = []
         for g in several:
             a, b = cuts[g], cuts[g + 1]
@@ -183,58 +185,141 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 _ROW = ["nid", "size", *_SKETCH]
+_PIVOTS = f"key bigint, pivots array<struct<nid: bigint, size: int, {', '.join(f'{c}: bigint' for c in _SKETCH)}>>"
 
 
-def _even(other: str) -> Column:
+def _bits(similarity: float) -> float:
+    """Equal sketch bits that a similarity makes on average."""
+    return BITS * (1 + similarity) / 2
+
+
+def _even(other: Column) -> Column:
     """Equal sketch bits of a row and of a pivot."""
     unlike = F.lit(0)
     for c in _SKETCH:
-        unlike = unlike + F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}.{c}")))
+        unlike = unlike + F.bit_count(F.col(c).bitwiseXOR(other[c]))
     return F.lit(BITS) - unlike
 
 
-def _candidate_edges(nodes: DataFrame, runs: int, small: int, depth: int) -> DataFrame:
-    """Spanning candidate edges (u, v) over all buckets of all runs."""
-    keys = F.array(*(F.xxhash64(F.lit(r), F.element_at("tokens", r + 1)) for r in range(runs)))
-    level = nodes.select(F.explode(keys).alias("key"), F.lit(0).alias("deep"), F.lit(False).alias("split"), *_ROW)
-    edges: DataFrame | None = None
-    step, held = 0, []
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy().view(np.uint64) for c in _SKETCH], 1)
+
+
+def _leaders(sizes: np.ndarray, sketches: np.ndarray) -> list[int]:
+    """Places of a sample's pivots: who has most of the rest near, as long as that is a share of the sample."""
+    even = BITS - np.bitwise_count(sketches[:, None] ^ sketches[None]).sum(axis=2, dtype=np.int32)
+    ratio = np.minimum(sizes[:, None], sizes[None]) / np.maximum(sizes[:, None], sizes[None])
+    near = (even >= _bits(ALIKE)) & (ratio >= LOOSE)
+    found: list[int] = []
     while True:
+        took = near.sum(axis=1)
+        best = int(took.argmax())
+        if took[best] < max(2, SHARE * len(sizes)):
+            return found
+        found.append(best)
+        gone = near[best].copy()
+        near[gone] = False
+        near[:, gone] = False
+
+
+@tidied
+def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pivots of each bucket that has some, from samples in rows sorted by key."""
+    for table, cuts in whole_groups(batches, "key"):
+        sizes, sketches, places, ends, keys = table.column("size").to_numpy(), _sketches(table), [], [0], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if found := _leaders(sizes[a:b], sketches[a:b]):
+                places.extend(a + x for x in found)
+                ends.append(len(places))
+                keys.append(a)
+        if keys:
+            rows = table.select(_ROW).take(places).combine_chunks()
+            rows = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in _ROW], names=_ROW)
+            key = table.column("key").take(keys).combine_chunks()
+            yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=["key", "pivots"])
+
+
+@tidied
+def _pack_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One packed row for each block of a bucket, in rows sorted by (key, block)."""
+    pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+    for table, cuts in whole_groups(batches, "key", "block"):
+        nid, sizes, sketches = table.column("nid").to_numpy(), table.column("size").to_numpy(), _sketches(table)
+        blobs = [pack(pickle.dumps((nid[a:b], sizes[a:b], sketches[a:b]), protocol=5)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        heads = table.select(["key", "block", "blocks"]).take(cuts[:-1]).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*(heads.column(c).combine_chunks() for c in heads.column_names), pa.array(blobs, pa.binary())], names=["key", "block", "blocks", "blob"])
+
+
+@tidied
+def _pair_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges within and between two blocks of a bucket, in rows sorted by (key, one, two)."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for table, cuts in whole_groups(batches, "key", "one", "two"):
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            groups = [pickle.loads(unpack(x.as_py())) for x in table.column("blob").slice(a, b - a)]
+            nid, sizes, sketches = (np.concatenate(x) for x in zip(*groups))
+            x, y = _search(sizes, sketches)
+            yield pa.RecordBatch.from_arrays([pa.array(nid[x]), pa.array(nid[y])], names=["u", "v"])
+
+
+def _by_blocks(large: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """(edges (u, v), a table to release) of buckets of ``m`` members each, all members against all."""
+    rows = large.withColumn("blocks", F.ceil(F.col("m") / small).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("nid", "key"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.select("key", "block", "blocks", *_ROW).repartition("key", "block").sortWithinPartitions("key", "block")
+    packed = materialize(rows.mapInArrow(_pack_sketches, "key bigint, block int, blocks int, blob binary"), "packed")
+    pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
+    pairs = pairs.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "blob")
+    pairs = pairs.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    return pairs.mapInArrow(_pair_edges, "u bigint, v bigint"), packed
+
+
+def _candidate_edges(nodes: DataFrame, runs: int, small: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(spanning candidate edges (u, v) over all buckets of all runs, tables to release once they are written)."""
+    keys = F.array(*(F.xxhash64(F.lit(r), F.element_at("tokens", r + 1)) for r in range(runs)))
+    others = TOKENS - runs
+    level = nodes.select(F.posexplode(keys).alias("run", "key"), F.slice("tokens", runs + 1, others).alias("others"), *_ROW)
+    cold: list[DataFrame] = []
+    edges: list[DataFrame] = []
+    held: list[DataFrame] = []
+    for step in range(depth + 1):
         hot = materialize(level.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > small), "hot")
+        held.append(hot)
         n_hot = hot.count()
-        cold = level.join(sized(hot.select("key"), n_hot), "key", "left_anti") if n_hot else level
-        cold = cold.select("key", *_ROW).repartition("key").sortWithinPartitions("key")
-        found = cold.mapInArrow(_bucket_edges, "u bigint, v bigint")
         if not n_hot:
-            return found if edges is None else edges.unionByName(found)
-        found = materialize(found, "paths")
-        edges = found if edges is None else edges.unionByName(found)
-        large = materialize(level.join(sized(hot.select("key"), n_hot), "key", "left_semi"), "large")
-        release(*held)
-        held = [large]
-        # unlike buckets fall apart by further tokens
-        branch = F.col("split") & (F.col("deep") < depth)
-        unlike = large.where(branch).join(nodes.select("nid", "tokens"), "nid")
-        unlike = unlike.withColumn("_j", F.explode(F.array(*map(F.lit, range(BRANCHES)))))
-        place = (runs + F.pmod(F.xxhash64("key", "_j"), F.lit(TOKENS - runs)) + 1).cast("int")
-        key = F.xxhash64("key", place, F.element_at("tokens", place))
-        unlike = unlike.select(key.alias("key"), (F.col("deep") + 1).alias("deep"), F.lit(False).alias("split"), *_ROW).distinct()
-        # the others meet a pivot
-        alike = large.where(~branch)
-        pivots = alike.groupBy("key").agg(F.min_by(F.struct(*_ROW), F.struct(F.xxhash64("nid", "key", F.lit(step)), "nid")).alias("p"))
-        pivots = materialize(pivots, "pivots")
-        ratio = F.least("size", "p.size") / F.greatest("size", "p.size")
-        judged = alike.join(sized(pivots, n_hot), "key").withColumn("even", _even("p"))
-        judged = materialize(judged.where("nid != p.nid").select("key", "deep", *_ROW, F.col("p.nid").alias("p"), "even", ratio.alias("ratio")), "judged")
-        bits = lambda s: BITS * (1 + s) / 2
-        edges = edges.unionByName(judged.where((F.col("even") >= bits(LOOSE)) & (F.col("ratio") >= LOOSE)).select(F.col("nid").alias("u"), F.col("p").alias("v")))
-        near = F.col("even") >= bits(ALIKE)
-        took = materialize(judged.groupBy("key").agg((F.avg(near.cast("double")) < SHARE).alias("split")), "took")
-        rest = judged.where(~near).join(sized(took, n_hot), "key").select("key", "deep", "split", *_ROW)
-        level = materialize(rest.unionByName(unlike), "level")
-        held.append(level)
-        release(hot)
-        step += 1
+            cold.append(level.select("key", *_ROW))
+            break
+        cold.append(level.join(sized(hot.select("key"), n_hot), "key", "left_anti").select("key", *_ROW))
+        large = level.join(sized(hot, n_hot), "key")
+        if step == depth:
+            found, packed = _by_blocks(large, small)
+            edges.append(found)
+            held.append(packed)
+            break
+        sample = large.where(F.pmod(F.xxhash64("nid", "key", F.lit(step)), F.col("m")) < SAMPLE)
+        sample = sample.select("key", *_ROW).repartition("key").sortWithinPartitions("key", "nid")
+        pivots = materialize(sample.mapInArrow(_pivots, _PIVOTS), "pivots")
+        ratio = lambda p: F.least("size", p["size"]) / F.greatest("size", p["size"])
+        met = F.transform("pivots", lambda p: F.struct(p["nid"].alias("p"), _even(p).alias("even"), ratio(p).alias("ratio")))
+        judged = large.join(sized(pivots, n_hot), "key", "left").withColumn("met", F.filter(met, lambda x: (x["even"] >= _bits(LOOSE)) & (x["ratio"] >= LOOSE)))
+        near = F.coalesce(F.exists("met", lambda x: x["even"] >= _bits(ALIKE)), F.lit(False))
+        judged = judged.select("key", "run", "others", *_ROW, F.col("met.p").alias("ties"), near.alias("near"), F.col("pivots").isNull().alias("split"))
+        judged = materialize(judged, "judged")
+        held += [pivots, judged]
+        edges.append(judged.select(F.col("nid").alias("u"), F.explode("ties").alias("v")).where("u != v"))
+        # unlike buckets fall apart by further tokens, others in each step and in each run
+        first = F.pmod((F.col("run") + step) * BRANCHES, F.lit(others))
+        place = [(F.pmod(first + j, F.lit(others)) + 1).cast("int") for j in range(min(BRANCHES, others))]
+        apart = F.array(*(F.xxhash64("key", x, F.element_at("others", x)) for x in place))
+        key = F.explode(F.when(F.col("split"), apart).otherwise(F.array("key"))).alias("key")
+        level = judged.where(~F.col("near")).select("run", key, "others", *_ROW)
+    every = cold[0]
+    for more in cold[1:]:
+        every = every.unionByName(more)
+    found = every.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges, "u bigint, v bigint")
+    for more in edges:
+        found = found.unionByName(more)
+    return found, held
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -249,25 +334,29 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "sid binary, shingles binary")
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, from columns of shared shingles."""
+def _overlaps(sets: list[np.ndarray], first: int = 0) -> np.ndarray:
+    """Sizes of all intersections, from columns of shared shingles; with ``first``, of the first so many sets with the others."""
     n = len(sets)
-    if n == 2:
+    if n == 2 and not first:
         common = len(np.intersect1d(*sets, assume_unique=True))
         return np.array([[0, common], [common, 0]])
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[number] > 1
+    if first:
+        left = np.bincount(number[owner < first], minlength=len(times))
+        shared = ((left > 0) & (left < times))[number]
+    else:
+        shared = times[number] > 1
     owner, number = owner[shared], number[shared]
     order = np.argsort(number, kind="stable")
     owner, number = owner[order], number[order]
     column = np.cumsum(np.append(0, number[1:] != number[:-1])) if len(number) else number
-    out = np.zeros((n, n), np.int64)
+    out = np.zeros((first, n - first) if first else (n, n), np.int32)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
         lo, hi = np.searchsorted(column, [at, at + 4096])
-        m = np.zeros((n, 4096), np.float32)
+        m = np.zeros((n, min(4096, int(column[-1]) + 1 - at)), np.float32)
         m[owner[lo:hi], column[lo:hi] - at] = 1
-        out += (m @ m.T).astype(np.int64)
+        out += ((m[:first] @ m[first:].T) if first else (m @ m.T)).astype(np.int32)
     return out
 
 
@@ -277,17 +366,23 @@ def _verify(nid: np.ndarray, mult: np.ndarray, sets: list[np.ndarray], first: in
     With ``first``, only pairs between the first so many nodes and the others count.
     """
     size = np.array([len(s) for s in sets])
-    both = _overlaps(sets)
-    near = both >= SIMILARITY * (size[:, None] + size[None, :] - both) - 1e-9
-    np.fill_diagonal(near, False)
+    both = _overlaps(sets, first)
+    one, two = (slice(0, first), slice(first, None)) if first else (slice(None), slice(None))
+    near = both >= SIMILARITY * (size[one, None] + size[None, two] - both) - 1e-9
+    if not first:
+        np.fill_diagonal(near, False)
+    links = np.zeros(len(nid), np.int64)
+    links[one] = near @ mult[two]
     if first:
-        near[:first, :first] = near[first:, first:] = False
-    links = (near * mult[None, :]).sum(axis=1)
+        links[two] = near.T @ mult[one]
     order = np.argsort(nid)
     label = np.empty(len(nid), np.int64)
     label[order] = np.arange(len(nid))  # by node number, so that the smallest label is the smallest node
     while True:
-        low = np.where(near, label[None, :], len(nid)).min(axis=1)
+        low = label.copy()
+        low[one] = np.where(near, label[None, two], len(nid)).min(axis=1)
+        if first:
+            low[two] = np.where(near, label[one, None], len(nid)).min(axis=0)
         new = np.minimum(label, low)
         new = np.minimum(new, new[order[new]])
         if (new == label).all():
@@ -384,9 +479,9 @@ def links(docs: DataFrame, runs: int | None = None, small: int = SMALL, depth: i
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
     nodes = rows.where("size > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("mult"), one, *(F.first(c).alias(c) for c in ("size", "tokens", *_SKETCH)))
     nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    edges = materialize(_candidate_edges(nodes, runs, small, depth), "edges")
+    edges, held = _candidate_edges(nodes, runs, small, depth)
     groups = materialize(components(edges), "groups")
-    release(edges)
+    release(*held)
     found, classes = _links_of_members(docs, nodes, groups, block)
     release(groups)
     known = nodes.select("sid", "nid", "one.doc_id", "mult").join(found, "nid", "left").join(classes, "nid", "left").withColumn("label", F.coalesce("label", "nid"))

@@ -453,6 +453,46 @@ def test_jaccard_unlike_bucket_is_split(spark):
     assert want > 150 and got >= 0.98 * want
 
 
+def test_jaccard_steps_are_bounded(spark, monkeypatch):
+    """A large bucket that no token splits and no pivot empties ends in pairs of blocks, after a fixed number of steps."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(60):
+        texts += _alike(rng, [f"p{i}" for i in range(70)] + [f"t{k}x{i}" for i in range(50)], 2, 1)
+    steps = []
+    plain = jaccard_join.materialize
+
+    def counted(df, label="t", **options):
+        steps.append(label)
+        assert steps.count("hot") <= 2
+        return plain(df, label, **options)
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    got, want = _recall(spark, texts, small=10, depth=1)
+    assert "packed" in steps
+    assert want > 80 and got >= 0.98 * want
+
+
+@pytest.mark.parametrize("first", [0, 1, 3])
+def test_jaccard_overlaps(first):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, 30)).astype(np.uint64) for _ in range(7)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    got = jaccard_join._overlaps(sets, first)
+    if first:
+        assert (got == want[:first, first:]).all()
+    else:
+        assert (got[~np.eye(7, dtype=bool)] == want[~np.eye(7, dtype=bool)]).all()
+
+
+def test_components_both_ways(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(70)]
+    table = spark.createDataFrame(edges, "u long, v long")
+    ways = [sorted(map(tuple, components.components(table, **o).collect())) for o in ({}, {"local": 0})]
+    assert ways[0] == ways[1]
+
+
 def test_jaccard_odd_rows(docs):
     assert jaccard_join.links(docs).count() == len(ROWS)
     kept = jaccard_join.deduplicate(docs)
