@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from corvane.llm.common import fresh, tidied, whole_text
+from corvane.llm.common import fresh, tidied, tidy, whole_text
 from corvane.plans.scratch import materialize, release
 
 BITS = 18
@@ -144,7 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
     release(table)
     if not rows.num_rows:
         return None
-    return train([(f.values.to_numpy(), int(y.as_py() > 0)) for f, y in zip(rows["f"], rows["y"])], bits)
+    model = train([(f.values.to_numpy(), int(y.as_py() > 0)) for f, y in zip(rows["f"], rows["y"])], bits)
+    del rows
+    tidy()  # the driver goes on with other work
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:

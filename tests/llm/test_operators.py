@@ -473,6 +473,31 @@ def test_jaccard_steps_are_bounded(spark, monkeypatch):
     assert want > 80 and got >= 0.98 * want
 
 
+def test_near_dedup_tables_are_bounded(spark, monkeypatch):
+    """The pipeline's near dedup writes as many tables for a large unlike bucket as for two of its size."""
+    rng = random.Random(9)
+    tables = []
+    plain = jaccard_join.materialize
+
+    def counted(df, label="t", **options):
+        tables.append(label)
+        assert len(tables) <= 25, tables
+        return plain(df, label, **options)
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    written = []
+    for n in (25, 50):
+        texts = []
+        for k in range(n):
+            texts += _alike(rng, [f"p{i}" for i in range(70)] + [f"t{k}x{i}" for i in range(50)], 2, 1)
+        tables.clear()
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        kept = {r.doc_id for r in jaccard_join.deduplicate(docs, small=10, depth=1).collect()}
+        assert kept == {i for i, c in enumerate(brute.near(texts)[1]) if i == c}
+        written.append(len(tables))
+    assert written[0] == written[1]
+
+
 @pytest.mark.parametrize("first", [0, 1, 3])
 def test_jaccard_overlaps(first):
     rng = np.random.default_rng(3)
