@@ -80,3 +80,33 @@ def test_search_moves_postings_once_whatever_the_queries(spark, tmp_path):
     few, many = (_exchanges(se.search(post, q)) for q in ({"q": '"a b"'}, {f"q{i}": f'"a b" AND c AND NOT z{i}' for i in range(9)}))
     assert len(few) == len(many) == 2 and sum("hashpartitioning(unit_id" in x for x in many) == 1
     assert not _exchanges(se.matches(post, {"q": "a"}).where(F.lit(False)).limit(0))[1:]
+
+
+def test_ngrams_of_all_sizes_from_one_sort(spark):
+    import random
+
+    r = random.Random(5)
+    units = [(f"d{i % 7}", f"u{i:03d}", " ".join(r.choice(("a", "b", "ab", "a1", "é")) for _ in range(r.randrange(1, 12)))) for i in range(300)]
+    u = spark.createDataFrame(units, "document_id string, unit_id string, text string")
+    want = {}
+    for _, unit, text in units:
+        w = text.split()
+        for n in range(1, 6):
+            for i in range(len(w) - n + 1):
+                own = want.setdefault((n, " ".join(w[i : i + n])), [0, set()])
+                own[0] += 1
+                own[1].add(unit)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for sizes in ((1, 2, 3, 4, 5), (2, 3, 4), (2,), (1,)):
+            rows = ch.grams(u, sizes).collect()
+            got = {(x.n, x.gram): (x.freq, x.units, x.first_unit) for x in rows}
+            assert len(got) == len(rows) and got == {g: (f, len(s), min(s)) for g, (f, s) in want.items() if g[0] in sizes}, sizes
+        summary = {x.n: (x.total, x.unique_ngrams, x.singletons) for x in ch.gram_summary(u, (1, 2, 3, 4, 5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in range(1, 6):
+        freq = [f for g, (f, _) in want.items() if g[0] == n]
+        assert summary[n] == (sum(freq), len(freq), freq.count(1))
+    moved = _exchanges(ch.grams(u, (1, 2, 3, 4, 5)))
+    assert len(moved) == 2
